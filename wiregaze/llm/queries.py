@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import langid, lines, packing, quality, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_quality": quality.op2_quality,
+    "op4_line_dedup": lines.op4_line_dedup,
+    "op7_langid": langid.op7_langid,
     "op9_packing": packing.op9_packing,
+    "op10_urls": urls.op10_urls,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": lines.OP4_SQL,
+    "op10_urls": urls.op10_sql(),
+}
