@@ -15,6 +15,7 @@ are packed as often as they come; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,10 @@ WINDOW = 2048
 QUANTUM = 64
 BUCKET_TOKENS = 2_000_000
 #: Most chunks of text whose ids a Python worker keeps.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
+CACHE_PARTS = 500_000
+#: How the vocabulary's file splits a text without white space.
+PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: str.split() takes these for white space, the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 _tokenizers: dict = {}
@@ -44,31 +48,66 @@ def default_tokenizer() -> str:
 
 
 class ChunkEncoder:
-    """Ids of a text as bytes, by chunks between white space, which the tokenizer never joins; seen chunks are kept."""
+    """Ids of a text as bytes. White space ends a token, so chunks between it are encoded apart and kept.
+
+    A chunk not seen yet is cut into the tokenizer's own pre-tokens, which recur far more often than chunks;
+    those not seen yet are encoded together, and told apart by their last tokens, which alone end a word.
+    Where the vocabulary marks no word ends, chunks are encoded one by one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.wide = self.tok.get_vocab_size() > 65536
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        size = self.tok.get_vocab_size()
+        self.kind = np.dtype("<u4" if size > 65536 else "<u2")
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.last = np.zeros(size, bool)
+        for t, i in self.tok.get_vocab().items() if suffix else ():
+            self.last[i] = t.endswith(suffix)
+        self.marked = bool(suffix)
         self.seen: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            chunks = regex.findall(r"[^\p{White_Space}]+", text) if SEPARATORS.search(text) else text.split()
-            new = list(dict.fromkeys(c for c in chunks if c not in self.seen))
-            if len(self.seen) + len(new) > CACHE_ENTRIES:
-                self.seen.clear()
-                new = list(dict.fromkeys(chunks))
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                    self.seen[c] = np.array(e.ids, self.kind).tobytes()
-            out.append(b"".join(map(self.seen.__getitem__, chunks)))
-        return out
+        self.parts: dict[str, bytes] = {}
+
+    def _add_whole(self, chunks: list[str]) -> None:
+        for c, e in zip(chunks, self.tok.encode_batch(chunks, add_special_tokens=False)):
+            self.seen[c] = np.array(e.ids, self.kind).tobytes()
+
+    def _add(self, chunks: list[str]) -> None:
+        if not self.marked:
+            return self._add_whole(chunks)
+        # the tokenizer lowers a capital sigma the same everywhere, Python does not
+        odd = [c for c in chunks if "\u03a3" in c]
+        if odd:
+            self._add_whole(odd)
+        cut = {c: [c.lower()] if c.isascii() and c.isalpha() else PRETOKEN.findall(unicodedata.normalize("NFC", c).lower()) for c in chunks if c not in self.seen}
+        new = list(dict.fromkeys(p for ps in cut.values() for p in ps if p not in self.parts))
+        if len(self.parts) + len(new) > CACHE_PARTS:
+            self.parts.clear()
+            new = list(dict.fromkeys(p for ps in cut.values() for p in ps))
+        if new:
+            ids = np.array(self.tok.encode(" ".join(new), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(new):
+                return self._add_whole(list(cut))
+            raw, size, at = ids.tobytes(), self.kind.itemsize, 0
+            for p, end in zip(new, ends.tolist()):
+                self.parts[p] = raw[at : end * size]
+                at = end * size
+        for c, ps in cut.items():
+            self.seen[c] = self.parts[ps[0]] if len(ps) == 1 else b"".join([self.parts[p] for p in ps])
+
+    def encode(self, text: str) -> bytes:
+        chunks = regex.findall(r"[^\p{White_Space}]+", text) if SEPARATORS.search(text) else text.split()
+        kinds = set(chunks)
+        new = [c for c in kinds if c not in self.seen]
+        if len(self.seen) + len(new) > CACHE_ENTRIES:
+            self.seen.clear()
+            new = list(kinds)
+        for i in range(0, len(new), 20_000):
+            self._add(new[i : i + 20_000])
+        return b"".join(map(self.seen.__getitem__, chunks))
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -89,7 +128,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 s = b.slice(at, 512)
-                ids = [x + end for x in enc.encode([t or "" for t in s.column(2).to_pylist()])]
+                ids = [enc.encode(t or "") + end for t in s.column(2).to_pylist()]
                 n = [len(x) // enc.kind.itemsize for x in ids]
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n", "ids"])
 
@@ -143,7 +182,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
     tokenizer = tokenizer or default_tokenizer()
-    wide = encoder(tokenizer).wide
     kept = saved(tokenised(docs, tokenizer, end_id), "ids", compression="zstd")
     total = kept.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // bucket_tokens))
@@ -167,7 +205,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
         .groupBy("bucket")
         .agg(F.collect_list(F.struct("source", "share", (F.col("share") * F.col("used") - F.col("had")).alias("owed"))).alias("queues"))
     )
-    kind = np.dtype("<u4" if wide else "<u2")
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -176,6 +213,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
         st = right.slice(0, 1).to_pylist()[0]
         src, doc, n, ids = (left.column(c) for c in ("source", "doc_id", "n", "ids"))
         doc, n, src = doc.to_pylist(), n.to_pylist(), src.to_pylist()
+        kind = np.dtype(f"<u{len(ids[0].as_buffer()) // n[0]}")
         place = {s: k for k, s in enumerate(sorted(set(src)))}
         queues: list[list[int]] = [[] for _ in place]
         for k, s in enumerate(src):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, lines, packing, quality, simhash, urls
+from . import decontam, html, langid, lines, packing, quality, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_quality": quality.op2_quality,
+    "op3_html": html.op3_html,
     "op4_line_dedup": lines.op4_line_dedup,
+    "op6_decontam": decontam.op6_decontam,
     "op7_langid": langid.op7_langid,
     "op9_packing": packing.op9_packing,
     "op10_urls": urls.op10_urls,
