@@ -56,13 +56,15 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def statistics_of(docs: DataFrame) -> DataFrame:
+def statistics_of(docs: DataFrame, label: str) -> DataFrame:
+    """doc_id, y, x."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = pa.array([statistics(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), x], ["doc_id", "x"])
+            x = pa.array([statistics(t.as_py()) for t in b.column(2)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["doc_id", "y", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select("doc_id", F.col(label).cast("double"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, y double, x array<double>")
 
 
 class Model:
@@ -104,14 +106,16 @@ def rows_of(b: pa.RecordBatch, k: int) -> np.ndarray:
     return b.column(k).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(FEATURES))
 
 
-def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fourier: int = FOURIER) -> Model:
-    """stats: doc_id, x. labels: doc_id, quality; rows whose fold is held out are never read."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fourier: int = FOURIER) -> Model:
+    """docs: doc_id, text. labels: doc_id, quality; labels of the held-out fold are never read."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), 3) != 1))
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
     n = marks.count()
     draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     marks = marks.where(draw < min(1.0, fit_rows / max(n, 1)))
-    rows = stats.dropDuplicates(["doc_id"]).join(marks, "doc_id").withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)))
+    # about fit_rows ids and labels at most, 16 bytes each: a bound that no input passes
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(saved(marks, "marks")), "doc_id")
+    rows = statistics_of(rows, "y").withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)))
     rows = saved(rows, "labelled")
     k = range(len(FEATURES))
     got = rows.agg(F.count("*"), F.avg("y"), *[F.avg(F.col("x")[i]) for i in k], *[F.stddev_pop(F.col("x")[i]) for i in k]).first()
@@ -141,18 +145,25 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fourier:
     return model
 
 
-def score(stats: DataFrame, model: Model) -> DataFrame:
+def scored(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
+    """The rows of docs (doc_id and text among their columns) with score; with ``least``, only those that reach it."""
+    at = docs.columns.index("text")
+    schema = docs.schema.add("score", "double")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(rows_of(b, 1)), pa.float64())], ["doc_id", "score"])
+            if b.num_rows:
+                s = model.score(np.array([statistics(t.as_py()) for t in b.column(at)]))
+                out = pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
+                yield out if least is None else out.filter(pa.array(s >= least))
 
-    return stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score, predicted for every row of docs."""
-    stats = saved(statistics_of(docs), "statistics")
-    return score(stats, fit(stats, labels)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    """doc_id, score, predicted for every row of docs; the text is read once more than the fitted sample."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return scored(own, fit(docs, labels)).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
