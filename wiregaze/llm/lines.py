@@ -2,7 +2,7 @@
 
 An index holds runs: tables of (h1, h2, docs, keeper) sorted by the 128-bit key hash within hash
 partitions. A new batch is summed to one row per key, merge-anti-joined with the runs to tell fresh keys
-from known ones, and added as a run of level 0. When a level holds ``fanout`` runs they are merged into one
+from known ones, and added as a sorted run of level 0. When a level holds ``fanout`` runs they are merged into one
 of the next level. Counts add up and the largest doc_id wins, so the order of batches does not matter.
 
 Defined results: null or empty text is one empty line; rows that share a doc_id are one document when
@@ -13,6 +13,7 @@ empty table gives no rows; other columns are ignored by the query and kept by ``
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """The levels of an index; every run is a table in the shared folder."""
+    """The levels of an index; every run is a table (h1, h2, docs, keeper, fresh) in the shared folder."""
 
     def __init__(self, fanout: int = FANOUT):
         self.fanout = fanout
@@ -61,15 +62,24 @@ class LineRuns:
         return saved(run.repartition(*KEY).sortWithinPartitions(*KEY), "run")
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Add a batch's lines (doc_id, h1, h2). Returns its keys that no earlier batch had."""
+        """Add a batch's lines (doc_id, h1, h2). Returns its keys that no earlier batch had.
+
+        Both parts of the batch are one sorted run: fresh keys, and counts to add to known ones.
+        """
         own = lines.select("doc_id", *KEY).distinct().groupBy(*KEY).agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
         known = self.runs()
+        if known:
+            seen = self._union(known).select(*KEY, F.lit(True).alias("seen")).distinct()
+            own = own.join(seen, KEY, "left").withColumn("fresh", F.col("seen").isNull()).drop("seen")
+        else:
+            own = own.withColumn("fresh", F.lit(True))
         run = self._write(own)
-        fresh = run.select(*KEY)
-        for r in known:
-            fresh = fresh.join(r.select(*KEY), KEY, "left_anti")
         self._put(run, 0)
-        return fresh
+        return run.where("fresh").select(*KEY)
+
+    @staticmethod
+    def _union(runs: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, runs)
 
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
@@ -80,12 +90,9 @@ class LineRuns:
             self.levels[level] = []
             self._put(merged, level + 1)
 
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        both = runs[0]
-        for r in runs[1:]:
-            both = both.unionByName(r)
-        return both.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
+    @classmethod
+    def _merge(cls, runs: list[DataFrame]) -> DataFrame:
+        return cls._union(runs).groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"), F.lit(False).alias("fresh"))
 
     def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """Keys found in at least min_docs documents, with the largest doc_id that holds them."""

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold_of, saved, table
 
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fourier: i
 def scored(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
     """The rows of docs (doc_id and text among their columns) with score; with ``least``, only those that reach it."""
     at = docs.columns.index("text")
-    schema = docs.schema.add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
