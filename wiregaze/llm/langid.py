@@ -13,6 +13,7 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,6 +30,12 @@ BLOCK_BYTES = 16_384
 LEVEL = 3
 MARGIN = 0.01
 LETTER = regex.compile(r"\p{L}")
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def plain(text: str) -> bytes:
+    """Lower-case words alone: case, digits and punctuation tell styles apart, not languages."""
+    return " ".join(WORD.findall(text.lower())).encode("utf-8", "surrogatepass")
 
 
 class Classifier:
@@ -43,7 +50,7 @@ class Classifier:
             self.tools.append(zstd.ZstdCompressor(dict_data=z, write_checksum=False, write_content_size=False, write_dict_id=False))
 
     def sizes(self, text: str) -> list[int]:
-        raw = text.lower().encode("utf-8", "surrogatepass")
+        raw = plain(text)
         blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
         return [sum(len(t.compress(b)) for b in blocks) for t in self.tools]
 
@@ -69,7 +76,7 @@ def dictionaries(sample: list[tuple[str, str]]) -> dict[str, bytes]:
         for lang in sorted(groups, key=lambda x: (-len(groups[x]), x)):
             share = max(500, DICT_BYTES // max(1, len(groups[lang])))
             # an even share of each document first, so that no long one fills the dictionary
-            raw = [t.lower().encode("utf-8", "surrogatepass") for t in groups[lang]]
+            raw = [plain(t) for t in groups[lang]]
             out[lang] = b" ".join([r[share:] for r in raw] + [r[:share] for r in raw])[-DICT_BYTES:]
         return out
 
