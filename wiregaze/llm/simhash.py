@@ -126,7 +126,8 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int | None = None) ->
     visits = visits.select(home.alias("home"), F.col("cell").alias("guest"), F.col("sub").alias("guest_sub"), "fps").join(sizes.withColumnRenamed("cell", "home"), "home")
     visits = visits.withColumn("home_sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).where("home <> guest or guest_sub <= home_sub")
     visits = visits.select("home", "home_sub", F.col("fps").alias("guests"))
-    pairs = visits.join(tiles.select(F.col("cell").alias("home"), F.col("sub").alias("home_sub"), "fps"), ["home", "home_sub"])
+    # merge: the planner takes the exploded visits for as small as the tiles and might broadcast them
+    pairs = visits.join(tiles.select(F.col("cell").alias("home"), F.col("sub").alias("home_sub"), "fps").hint("merge"), ["home", "home_sub"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()

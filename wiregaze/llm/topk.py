@@ -91,7 +91,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, segments: int = SEGM
         flips = masks(width, r)
         probes = todo.select("q", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), segment(F.col("q"), s, width).alias("value")) for s in range(segments)])).alias("e"))
         probes = probes.select("q", "e.seg", F.explode(F.transform(F.lit(flips), lambda m: F.col("e.value").bitwiseXOR(m))).alias("value"))
-        new = probes.join(index, ["seg", "value"]).select("q", "codes", "firsts", "ns").mapInArrow(run, f"q long, best {best_type}")
+        # the planner takes the exploded probes for as small as their source and would broadcast them
+        new = probes.join(index.hint("merge"), ["seg", "value"]).select("q", "codes", "firsts", "ns").mapInArrow(run, f"q long, best {best_type}")
         merged = todo.select("q", "best").union(new).groupBy("q").agg(F.flatten(F.collect_list("best")).alias("best"))
         merged = merged.withColumn("best", F.slice(F.array_sort(F.array_distinct("best")), 1, k))
         bound = segments * (r + 1) - 1
