@@ -65,6 +65,18 @@ class Classifier:
         return self.langs[k], margin / (margin + MARGIN), margin < MARGIN
 
 
+_made: dict[int, Classifier] = {}
+
+
+def shared(dicts: dict[str, bytes]) -> Classifier:
+    """One classifier a Python worker, not one a task: compression contexts are large."""
+    k = hash(tuple(sorted(dicts.items())))
+    if k not in _made:
+        _made.clear()
+        _made[k] = Classifier(dicts)
+    return _made[k]
+
+
 def dictionaries(sample: list[tuple[str, str]]) -> dict[str, bytes]:
     """(lang, text) -> dictionary of each language, most sampled first."""
     by: dict[str, list[str]] = defaultdict(list)
@@ -101,7 +113,7 @@ def identify(docs: DataFrame, dicts: dict[str, bytes]) -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Classifier(dicts)
+        c = shared(dicts)
         for b in batches:
             found = [c.classify(t.as_py()) for t in b.column(1)]
             lang, score, rejected = zip(*found) if found else ((), (), ())
