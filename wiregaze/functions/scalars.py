@@ -152,7 +152,8 @@ def report_kind(message: Column) -> Column:
 
 
 def percent(x: Column) -> Column:
-    return F.format_string("%.2f%%", x * 100)
+    """Exact halves go to the even digit, as C's printf does; Java's goes up."""
+    return F.format_string("%.2f%%", F.bround(x * 100, 2))
 
 
 def max_detectable_z(n: Column) -> Column:

@@ -68,8 +68,11 @@ def novelty(intervals: DataFrame, series: str = "series", t: str = "t", start: d
 D_OUT = "kind string, src string, message string, t double"
 
 
-def dedup(alerts: DataFrame, seconds: float = 5.0) -> DataFrame:
-    """Published alerts only; state is the time of a key's last published one and goes after a quiet hour."""
+def dedup(alerts: DataFrame, seconds: float = 5.0, forget_ms: int | None = None) -> DataFrame:
+    """Published alerts only; state is the time of a key's last published one.
+
+    forget_ms drops the state of keys quiet for so long; such a stream never ends by itself, as timers stay due.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -82,10 +85,11 @@ def dedup(alerts: DataFrame, seconds: float = 5.0) -> DataFrame:
                 out.append((*key, at))
                 last = at
         state.update((last,))
-        state.setTimeoutDuration(3_600_000)
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame(out, columns=["kind", "src", "message", "t"])
 
-    return alerts.select("kind", "src", "message", F.col("t").cast("double").alias("t")).groupBy("kind", "src", "message").applyInPandasWithState(run, D_OUT, "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return alerts.select("kind", "src", "message", F.col("t").cast("double").alias("t")).groupBy("kind", "src", "message").applyInPandasWithState(run, D_OUT, "last double", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout)
 
 
 def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, trigger: dict | None = None):
