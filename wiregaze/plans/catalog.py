@@ -64,7 +64,7 @@ def dim_sql() -> str:
     return f"dim(kind, technique_id, technique, tactic, tactic_id, severity, base, engine) AS (VALUES {rows})"
 
 
-KINDS_SQL = f"{ALERTS_SQL}, {dim_sql()}, ek AS (SELECT al.*, {kind_sql()} AS kind FROM al), en AS (SELECT ek.*, technique_id, technique, tactic, severity, round(CAST(printf('%.17f', CASE WHEN confidence IS NULL THEN base::DOUBLE ELSE base::DOUBLE * (0.7::DOUBLE + 0.3::DOUBLE * least(greatest(confidence, 0), 1)) END) AS DECIMAL(30, 17)), 1)::DOUBLE AS risk_score FROM ek JOIN dim USING (kind))"
+KINDS_SQL = f"{ALERTS_SQL}, {dim_sql()}, ek AS (SELECT al.*, {kind_sql()} AS kind FROM al), en AS (SELECT ek.*, technique_id, technique, tactic, severity, round(CAST(CAST(CASE WHEN confidence IS NULL THEN base::DOUBLE ELSE base::DOUBLE * (0.7::DOUBLE + 0.3::DOUBLE * least(greatest(confidence, 0), 1)) END AS VARCHAR) AS DECIMAL(30, 17)), 1)::DOUBLE AS risk_score FROM ek JOIN dim USING (kind))"
 
 
 def kinds(spark: SparkSession, sf: str) -> DataFrame:
