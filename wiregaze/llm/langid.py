@@ -27,7 +27,7 @@ from .common import fold_of, table
 SAMPLE_DOCS = 160
 DICT_BYTES = 120_000
 BLOCK_BYTES = 16_384
-LEVEL = 3
+LEVEL = 9
 MARGIN = 0.01
 LETTER = regex.compile(r"\p{L}")
 WORD = re.compile(r"[^\W\d_]+")
