@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group stays, once."""
-    keep = saved(simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct(), "keep")
+    """The document with the smallest id of each group of similar documents (five words, 0.8) stays, once."""
+    keep = saved(simhash.similar_groups(docs).where("doc_id = component_id").select("doc_id").distinct(), "keep")
     left = docs.join(keep, "doc_id", "left_semi")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     return left.withColumn("_copy", F.row_number().over(one)).where("_copy = 1").drop("_copy").select(*docs.columns)

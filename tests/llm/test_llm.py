@@ -101,6 +101,40 @@ def test_simhash_odd_and_empty(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def jaccard(a, b):
+    x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("tile", [8, None])
+def test_similar_groups_find_planted_copies(spark, tile):
+    """Copies with edits above the similarity, by brute force, are joined; those well below it and others are not."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, wanted, far = [], [], []
+    for g in range(25):
+        base = list(rng.choice(vocabulary, int(rng.integers(60, 900))))
+        rows.append((10 * g, " ".join(base)))
+        for c, share in enumerate((0.005, 0.015, 0.02, 0.2)):
+            copy = [str(rng.choice(vocabulary)) if rng.random() < share else w for w in base]
+            rows.append((10 * g + 1 + c, " ".join(copy)))
+            j = jaccard(" ".join(base), " ".join(copy))
+            if j >= 0.83:
+                wanted.append((10 * g, 10 * g + 1 + c))
+            elif j < 0.65:
+                far.append(10 * g + 1 + c)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()}
+    assert len(wanted) > 50 and all(got[a] == got[b] for a, b in wanted)
+    assert len(far) > 20 and all(got[d] == d for d in far)
+    assert all(c // 10 == d // 10 for d, c in got.items())
+
+
+def test_similar_groups_odd_and_empty(odd, empty):
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(odd).collect()}
+    assert got[1] == got[2] == got[3] == 1 and got[5] == got[4] == 4 and got[7] == 7
+    assert simhash.similar_groups(odd).count() == len(ODD_DOCS) and simhash.similar_groups(empty).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -324,7 +358,7 @@ def test_pipeline_stages(spark):
     thin = corpus_pipeline.STAGES[1][1](spark, kept, sf)
     assert thin.columns == names and thin.count() > 0.85 * kept.count()
     one = corpus_pipeline.STAGES[2][1](spark, thin, sf)
-    groups = simhash.near_duplicates(thin).select("component_id").distinct().count()
+    groups = simhash.similar_groups(thin).select("component_id").distinct().count()
     assert one.columns == names and one.count() == groups
     clean = corpus_pipeline.STAGES[3][1](spark, one, sf)
     leaked = {r["doc_id"] for r in decontam.leaks(one, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}

@@ -7,6 +7,9 @@ counts that differ by ``radius`` in sum at most, so a tile only visits tiles of
 is skipped. A pair of tiles is compared whole, by numpy exclusive-or and bit counts. Each task sends on a
 spanning forest of the links that it found, never all pairs, and components follow from alternating stars.
 
+``near_duplicates`` takes three-word shingles and three bits of 64; ``similar_groups`` finds a Jaccard
+similarity of five-word shingle sets by the same comparison of 1024 bits.
+
 Defined results: null, empty or wordless text has fingerprint zero and is linked like any other; fewer
 words than a shingle make one shingle; repeated rows stay, with the same values; an empty table gives no
 rows; other columns are ignored.
@@ -14,12 +17,13 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, saved, table
@@ -29,6 +33,15 @@ RADIUS = 3
 SEED = 42
 #: Shingles whose bits are counted at once; bounds memory for long texts.
 BLOCK = 1 << 14
+#: Of similar_groups: words of a shingle, least similarity, bits, words of the first comparison, rows compared at once.
+WIDE_WORDS = 5
+SIMILARITY = 0.8
+WIDE_BITS = 1024
+HEAD = 2
+STRIP = 256
+# The increments and multipliers of the splitmix64 generator.
+STEPS = np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 QUARTERS = tuple(0xFFFF << s for s in (0, 16, 32, 48))
 
 
@@ -82,11 +95,8 @@ class Forest:
         return a, [self.root(x) for x in a]
 
 
-def compare(a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> None:
-    """Link all of a and b within radius. Rows of a that share their first partner are joined through it."""
-    near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
-    if not near.any():
-        return
+def link_near(near: np.ndarray, a: np.ndarray, b: np.ndarray, forest: Forest) -> None:
+    """Link a[i] and b[j] where near[i, j]. Rows of a that share their first partner are joined through it."""
     if near.sum() <= 4 * (len(a) + len(b)):
         for i, j in zip(*np.nonzero(near)):
             forest.link(int(a[i]), int(b[j]))
@@ -105,40 +115,86 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> None:
                 forest.link(int(v), int(a[k]))
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
-    """Distinct fingerprints ``fp`` -> links (a, b) whose components are those of all pairs within radius."""
-    q = [F.bit_count(F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))).cast("int") for m in QUARTERS]
-    celled = fps.select("fp", *[c.alias(f"q{i}") for i, c in enumerate(q)]).withColumn("cell", ((F.col("q0") * 17 + F.col("q1")) * 17 + F.col("q2")) * 17 + F.col("q3"))
+def compare(a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> None:
+    """Link all fingerprints of a and b within radius."""
+    near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
+    if near.any():
+        link_near(near, a.view(np.int64), b.view(np.int64), forest)
+
+
+def compare_wide(a: np.ndarray, b: np.ndarray, radius: int, first: int, forest: Forest) -> None:
+    """Rows are a node and its fingerprint's words. All bits are compared where the first HEAD words differ in at most ``first``."""
+    for at in range(0, len(a), STRIP):
+        part = a[at : at + STRIP]
+        apart = np.zeros((len(part), len(b)), np.uint8)
+        for k in range(1, HEAD + 1):
+            apart += np.bitwise_count(part[:, k, None] ^ b[None, :, k])
+        near = apart <= first
+        i, j = np.nonzero(near)
+        if not len(i):
+            continue
+        for k in range(0, len(i), BLOCK):
+            x, y = i[k : k + BLOCK], j[k : k + BLOCK]
+            near[x, y] = np.bitwise_count(part[x, 1:] ^ b[y, 1:]).sum(axis=1, dtype=np.int64) <= radius
+        rows, cols = near.any(axis=1), near.any(axis=0)
+        if rows.any():
+            link_near(near[np.ix_(rows, cols)], part[rows, 0].view(np.int64), b[cols, 0].view(np.int64), forest)
+
+
+def tile_pairs(rows: DataFrame, coords: list[str], base: int, key: str, members: Column, deltas: list[tuple[int, ...]], share: int, most: int, tile: int | None = None) -> DataFrame:
+    """Pairs of tiles (guests, fps) that are to be compared.
+
+    ``coords`` are integers from 0 to base - 1 that name a row's cell; a large cell is several tiles by a
+    hash of ``key``. A tile meets the tiles of cells that lie one of ``deltas`` away. ``members`` collects
+    a tile. A tile has a ``share``-th of the rows, ``most`` at most; this is a matter of speed only.
+    """
+    cell = F.lit(0)
+    for c in coords:
+        cell = cell * base + F.col(c)
+    celled = rows.withColumn("cell", cell)
     counts = saved(celled.groupBy("cell").count(), "cells")
-    if tile is None:  # a matter of speed only: any value gives the same links
-        tile = min(8192, max(256, (counts.agg(F.sum("count")).first()[0] or 0) // 400))
-    # one row for each of 17^4 = 83521 possible cells at most: a bound that no input passes
+    if tile is None:
+        tile = min(most, max(256, (counts.agg(F.sum("count")).first()[0] or 0) // share))
+    # one row for each of base^coords possible cells at most (83521 or 16384): a bound that no input passes
     sizes = F.broadcast(counts.select("cell", F.ceil(F.col("count") / tile).cast("int").alias("subs")))
-    tiles = celled.join(sizes, "cell").withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("subs")).cast("int"))
-    tiles = saved(tiles.groupBy("cell", "sub").agg(*[F.first(f"q{i}").alias(f"q{i}") for i in range(4)], F.collect_list("fp").alias("fps")), "tiles")
-    deltas = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
+    tiles = celled.join(sizes, "cell").withColumn("sub", F.pmod(F.xxhash64(key), F.col("subs")).cast("int"))
+    tiles = saved(tiles.groupBy("cell", "sub").agg(*[F.first(c).alias(c) for c in coords], members.alias("fps")), "tiles")
     steps = F.array(*[F.array(*[F.lit(x) for x in d]) for d in deltas])
-    inside = F.lit(True)
-    for i in range(4):
-        inside = inside & (F.col(f"q{i}") + F.col("d")[i]).between(0, 16)
+    inside, home = F.lit(True), F.lit(0)
+    for i, c in enumerate(coords):
+        inside = inside & (F.col(c) + F.col("d")[i]).between(0, base - 1)
+        home = home * base + F.col(c) + F.col("d")[i]
     visits = tiles.withColumn("d", F.explode(steps)).where(inside)
-    home = F.col("cell") + ((F.col("d")[0] * 17 + F.col("d")[1]) * 17 + F.col("d")[2]) * 17 + F.col("d")[3]
     visits = visits.select(home.alias("home"), F.col("cell").alias("guest"), F.col("sub").alias("guest_sub"), "fps").join(sizes.withColumnRenamed("cell", "home"), "home")
     visits = visits.withColumn("home_sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).where("home <> guest or guest_sub <= home_sub")
     visits = visits.select("home", "home_sub", F.col("fps").alias("guests"))
     # merge: the planner takes the exploded visits for as small as the tiles and might broadcast them
     pairs = visits.join(tiles.select(F.col("cell").alias("home"), F.col("sub").alias("home_sub"), "fps").hint("merge"), ["home", "home_sub"])
+    return pairs.select("guests", "fps")
+
+
+def forest_links(pairs: DataFrame, visit: Callable[[np.ndarray, np.ndarray, Forest], None]) -> DataFrame:
+    """Apply ``visit`` to each pair of tiles; every task gives a spanning forest of its links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for batch in batches:
             for g, h in zip(batch.column(0), batch.column(1)):
-                compare(g.values.to_numpy().view(np.uint64), h.values.to_numpy().view(np.uint64), radius, forest)
-        a, b = (np.array(x, np.uint64).view(np.int64) for x in forest.links())
+                visit(g.values.to_numpy().view(np.uint64), h.values.to_numpy().view(np.uint64), forest)
+        a, b = (np.array(x, np.int64) for x in forest.links())
         for at in range(0, len(a), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], ["a", "b"])
 
-    return pairs.select("guests", "fps").mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
+    """Distinct fingerprints ``fp`` -> links (a, b) whose components are those of all pairs within radius."""
+    q = [F.bit_count(F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))).cast("int") for m in QUARTERS]
+    deltas = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
+    rows = fps.select("fp", *[c.alias(f"q{i}") for i, c in enumerate(q)])
+    pairs = tile_pairs(rows, ["q0", "q1", "q2", "q3"], 17, "fp", F.collect_list("fp"), deltas, 400, 8192, tile)
+    return forest_links(pairs, lambda g, h, forest: compare(g, h, radius, forest))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -152,6 +208,67 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     return marked.join(map_, "fp").select("doc_id", "fp", "component_id")
 
 
+def wide_fingerprint(text: str | None, words: int) -> tuple[int, np.ndarray]:
+    """The number of distinct word shingles, and their SimHash of WIDE_BITS bits as unsigned 64-bit words."""
+    import xxhash
+
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return 0, np.zeros(WIDE_BITS // 64, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    h = np.unique(np.array([digest(join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))], np.uint64))
+    counts = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(h), 255):  # sums of 255 bits fit a byte
+        x = h[at : at + 255, None] + STEPS
+        x = (x ^ (x >> np.uint64(30))) * MIX[0]
+        x = (x ^ (x >> np.uint64(27))) * MIX[1]
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return len(h), np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)
+
+
+def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n (distinct shingles), pop (bits set) and fp (array of longs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [wide_fingerprint(t.as_py(), words) for t in b.column(1)]
+            n = pa.array([n for n, _ in found], pa.int64())
+            pop = pa.array([int(np.bitwise_count(fp).sum()) for _, fp in found], pa.int32())
+            fp = pa.array([fp.view(np.int64) for _, fp in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), n, pop, fp], ["doc_id", "n", "pop", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, pop int, fp array<long>")
+
+
+def similar_groups(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY, tile: int | None = None) -> DataFrame:
+    """doc_id, component_id: groups of documents whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    A pair of sets of like size and similarity J has cosine c = 2J / (1 + J), and each bit of their
+    fingerprints differs with chance acos(c) / pi. The radius is that share of WIDE_BITS and one standard
+    deviation more. Cells are sizes in steps of the similarity, as sets whose sizes differ more cannot reach it, and population
+    counts in steps of the radius. The comparison is the one of ``near_duplicates``, first of 128 bits with
+    a radius that hardly any link exceeds, then of all bits. Similarity is thus an estimate, good to about 0.03.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    spread = math.sqrt(share * (1 - share))
+    radius = int(WIDE_BITS * share + math.sqrt(WIDE_BITS) * spread)
+    bits = 64 * HEAD
+    first = int(bits * radius / WIDE_BITS + 5 * math.sqrt(bits) * spread)
+    marked = wide_fingerprints(docs, words).select("doc_id", "n", "pop", "fp", F.xxhash64("fp").alias("k1"), F.xxhash64(F.lit("fp"), "fp").alias("k2"))
+    marked = saved(marked, "wide-fingerprints")
+    reps = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("pop").alias("pop"), F.first("fp").alias("fp"))
+    reps = saved(reps, "wide-distinct")
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / similarity)).cast("int")
+    rows = reps.select("node", F.least(band, F.lit(127)).alias("band"), F.floor(F.col("pop") / (radius + 1)).cast("int").alias("level"), F.concat(F.array("node"), "fp").alias("row"))
+    deltas = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
+    pairs = tile_pairs(rows, ["band", "level"], 128, "node", F.flatten(F.collect_list("row")), deltas, 128, 1 << 14, tile)
+    width = 1 + WIDE_BITS // 64
+    roots = connected_components(forest_links(pairs, lambda g, h, forest: compare_wide(g.reshape(-1, width), h.reshape(-1, width), radius, first, forest)))
+    named = reps.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id"))
+    return marked.select("doc_id", "k1", "k2").join(saved(named, "wide-components"), ["k1", "k2"]).select("doc_id", "component_id")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
