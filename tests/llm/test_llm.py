@@ -108,24 +108,24 @@ def jaccard(a, b):
 
 @pytest.mark.parametrize("tile", [8, None])
 def test_similar_groups_find_planted_copies(spark, tile):
-    """Copies with edits above the similarity, by brute force, are joined; those well below it and others are not."""
+    """Copies with edits above the similarity, by brute force, are joined; those below it and others are not."""
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(3000)]
     rows, wanted, far = [], [], []
     for g in range(25):
         base = list(rng.choice(vocabulary, int(rng.integers(60, 900))))
         rows.append((10 * g, " ".join(base)))
-        for c, share in enumerate((0.005, 0.015, 0.02, 0.2)):
+        for c, share in enumerate((0.005, 0.015, 0.06, 0.2)):
             copy = [str(rng.choice(vocabulary)) if rng.random() < share else w for w in base]
             rows.append((10 * g + 1 + c, " ".join(copy)))
             j = jaccard(" ".join(base), " ".join(copy))
-            if j >= 0.83:
+            if j >= 0.8:
                 wanted.append((10 * g, 10 * g + 1 + c))
-            elif j < 0.65:
+            else:
                 far.append(10 * g + 1 + c)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()}
-    assert len(wanted) > 50 and all(got[a] == got[b] for a, b in wanted)
-    assert len(far) > 20 and all(got[d] == d for d in far)
+    assert len(wanted) > 45 and all(got[a] == got[b] for a, b in wanted)
+    assert len(far) > 20 and all(got[d] != d // 10 * 10 for d in far)
     assert all(c // 10 == d // 10 for d, c in got.items())
 
 

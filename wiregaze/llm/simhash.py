@@ -18,7 +18,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import product
 
 import numpy as np
@@ -39,6 +39,10 @@ SIMILARITY = 0.8
 WIDE_BITS = 1024
 HEAD = 2
 STRIP = 256
+#: Standard deviations about the similarity within which pairs are verified; partners of a row in a crowded strip.
+MARGIN = 3
+NEAREST = 4
+BROADCAST_BYTES = 8 << 20
 # The increments and multipliers of the splitmix64 generator.
 STEPS = np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -115,30 +119,47 @@ def link_near(near: np.ndarray, a: np.ndarray, b: np.ndarray, forest: Forest) ->
                 forest.link(int(v), int(a[k]))
 
 
-def compare(a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> None:
-    """Link all fingerprints of a and b within radius."""
+def compare(a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> tuple[()]:
+    """Link all fingerprints of a and b within radius; none of them is doubtful."""
     near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
     if near.any():
         link_near(near, a.view(np.int64), b.view(np.int64), forest)
+    return ()
 
 
-def compare_wide(a: np.ndarray, b: np.ndarray, radius: int, first: int, forest: Forest) -> None:
-    """Rows are a node and its fingerprint's words. All bits are compared where the first HEAD words differ in at most ``first``."""
+def compare_wide(a: np.ndarray, b: np.ndarray, sure: int, radius: int, first: int, forest: Forest) -> Iterator[np.ndarray]:
+    """Rows are a node and its fingerprint's words. All bits are compared where the first HEAD words differ in at most ``first``.
+
+    Links of ``sure`` bits or fewer go to the forest; those up to ``radius`` are given as rows (node, node)
+    to be verified: all of a strip, or where those outnumber its rows, the NEAREST of each row.
+    """
+    ids = b[:, 0].view(np.int64)
     for at in range(0, len(a), STRIP):
         part = a[at : at + STRIP]
+        own = part[:, 0].view(np.int64)
         apart = np.zeros((len(part), len(b)), np.uint8)
         for k in range(1, HEAD + 1):
             apart += np.bitwise_count(part[:, k, None] ^ b[None, :, k])
-        near = apart <= first
-        i, j = np.nonzero(near)
+        i, j = np.nonzero(apart <= first)
         if not len(i):
             continue
-        for k in range(0, len(i), BLOCK):
-            x, y = i[k : k + BLOCK], j[k : k + BLOCK]
-            near[x, y] = np.bitwise_count(part[x, 1:] ^ b[y, 1:]).sum(axis=1, dtype=np.int64) <= radius
+        bits = np.concatenate([np.bitwise_count(part[i[k : k + BLOCK], 1:] ^ b[j[k : k + BLOCK], 1:]).sum(axis=1, dtype=np.int16) for k in range(0, len(i), BLOCK)])
+        near = np.zeros(apart.shape, bool)
+        near[i[bits <= sure], j[bits <= sure]] = True
         rows, cols = near.any(axis=1), near.any(axis=0)
         if rows.any():
-            link_near(near[np.ix_(rows, cols)], part[rows, 0].view(np.int64), b[cols, 0].view(np.int64), forest)
+            link_near(near[np.ix_(rows, cols)], own[rows], ids[cols], forest)
+        open_ = (bits > sure) & (bits <= radius)
+        i, j, bits = i[open_], j[open_], bits[open_]
+        if len(i) > 4 * (len(part) + len(b)):
+            keep = np.zeros(len(i), bool)
+            for side in (i, j):
+                order = np.lexsort((bits, side))
+                ranks = np.arange(len(order)) - np.searchsorted(side[order], side[order])
+                keep[order[ranks < NEAREST]] = True
+            i, j = i[keep], j[keep]
+        if len(i):
+            yield np.stack([own[i], ids[j]], axis=1)
 
 
 def tile_pairs(rows: DataFrame, coords: list[str], base: int, key: str, members: Column, deltas: list[tuple[int, ...]], share: int, most: int, tile: int | None = None) -> DataFrame:
@@ -173,19 +194,27 @@ def tile_pairs(rows: DataFrame, coords: list[str], base: int, key: str, members:
     return pairs.select("guests", "fps")
 
 
-def forest_links(pairs: DataFrame, visit: Callable[[np.ndarray, np.ndarray, Forest], None]) -> DataFrame:
-    """Apply ``visit`` to each pair of tiles; every task gives a spanning forest of its links (a, b)."""
+def forest_links(pairs: DataFrame, visit: Callable[[np.ndarray, np.ndarray, Forest], Iterable[np.ndarray]]) -> DataFrame:
+    """Apply ``visit`` to each pair of tiles; every task gives a spanning forest of its links (a, b, sure).
+
+    The pairs that ``visit`` returns follow as links that are not sure, unless the task's forest joins them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
+        forest, doubtful = Forest(), [np.zeros((0, 2), np.int64)]
         for batch in batches:
             for g, h in zip(batch.column(0), batch.column(1)):
-                visit(g.values.to_numpy().view(np.uint64), h.values.to_numpy().view(np.uint64), forest)
-        a, b = (np.array(x, np.int64) for x in forest.links())
-        for at in range(0, len(a), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], ["a", "b"])
+                doubtful.extend(visit(g.values.to_numpy().view(np.uint64), h.values.to_numpy().view(np.uint64), forest))
+        sure = np.array(forest.links(), np.int64).T
+        rest = np.concatenate(doubtful)
+        trees = {x: forest.root(x) for x in list(forest.up)}
+        rest = rest[np.array([trees.get(x, x) != trees.get(y, y) for x, y in rest.tolist()], bool)]
+        for links, flag in ((sure, True), (rest, False)):
+            for at in range(0, len(links), 1 << 16):
+                a, b = links[at : at + (1 << 16)].T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), flag))], ["a", "b", "sure"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long, sure boolean")
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
@@ -194,7 +223,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int | None = None) ->
     deltas = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
     rows = fps.select("fp", *[c.alias(f"q{i}") for i, c in enumerate(q)])
     pairs = tile_pairs(rows, ["q0", "q1", "q2", "q3"], 17, "fp", F.collect_list("fp"), deltas, 400, 8192, tile)
-    return forest_links(pairs, lambda g, h, forest: compare(g, h, radius, forest))
+    return forest_links(pairs, lambda g, h, forest: compare(g, h, radius, forest)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -208,15 +237,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     return marked.join(map_, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(text: str | None, words: int) -> tuple[int, np.ndarray]:
-    """The number of distinct word shingles, and their SimHash of WIDE_BITS bits as unsigned 64-bit words."""
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of the text's distinct word shingles; none without words."""
     import xxhash
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0, np.zeros(WIDE_BITS // 64, np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    h = np.unique(np.array([digest(join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))], np.uint64))
+    return np.unique(np.array([digest(join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))] if w else [], np.uint64))
+
+
+def wide_fingerprint(text: str | None, words: int) -> tuple[int, np.ndarray]:
+    """The number of distinct word shingles, and their SimHash of WIDE_BITS bits as unsigned 64-bit words."""
+    h = shingle_set(text, words)
     counts = np.zeros(WIDE_BITS, np.int64)
     for at in range(0, len(h), 255):  # sums of 255 bits fit a byte
         x = h[at : at + 255, None] + STEPS
@@ -241,30 +273,56 @@ def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, pop int, fp array<long>")
 
 
+def verified(links: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) between doc_ids whose shingle sets have the similarity, computed from their texts."""
+    links = saved(links.select("a", "b").distinct(), "doubtful")
+    ends = saved(links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct(), "ends")
+    small = ends.count() * 16 <= BROADCAST_BYTES
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ends) if small else ends, "doc_id")
+    texts = saved(texts, "doubtful-texts")
+    both = links.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for s, t in zip(batch.column(2), batch.column(3)):
+                x, y = shingle_set(s.as_py(), words), shingle_set(t.as_py(), words)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common > 0 and common >= similarity * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY, tile: int | None = None) -> DataFrame:
     """doc_id, component_id: groups of documents whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     A pair of sets of like size and similarity J has cosine c = 2J / (1 + J), and each bit of their
-    fingerprints differs with chance acos(c) / pi. The radius is that share of WIDE_BITS and one standard
-    deviation more. Cells are sizes in steps of the similarity, as sets whose sizes differ more cannot reach it, and population
-    counts in steps of the radius. The comparison is the one of ``near_duplicates``, first of 128 bits with
-    a radius that hardly any link exceeds, then of all bits. Similarity is thus an estimate, good to about 0.03.
+    fingerprints differs with chance acos(c) / pi. Pairs MARGIN standard deviations closer than that are linked;
+    those up to as many further away are verified on their texts, unless they are linked already. Cells are
+    sizes in steps of the similarity, as sets whose sizes differ more cannot reach it, and population counts
+    in steps of the radius. The comparison is the one of ``near_duplicates``, first of 128 bits with a radius
+    that hardly any link exceeds, then of all bits.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     spread = math.sqrt(share * (1 - share))
-    radius = int(WIDE_BITS * share + math.sqrt(WIDE_BITS) * spread)
+    margin = MARGIN * math.sqrt(WIDE_BITS) * spread
+    sure, radius = int(WIDE_BITS * share - margin), int(WIDE_BITS * share + margin)
     bits = 64 * HEAD
-    first = int(bits * radius / WIDE_BITS + 5 * math.sqrt(bits) * spread)
+    first = int(bits * radius / WIDE_BITS + 4.5 * math.sqrt(bits) * spread)
     marked = wide_fingerprints(docs, words).select("doc_id", "n", "pop", "fp", F.xxhash64("fp").alias("k1"), F.xxhash64(F.lit("fp"), "fp").alias("k2"))
     marked = saved(marked, "wide-fingerprints")
     reps = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("pop").alias("pop"), F.first("fp").alias("fp"))
     reps = saved(reps, "wide-distinct")
-    band = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / similarity)).cast("int")
+    # a size on the edge of a step may fall to either side of it: the steps are a little wider than the similarity's
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1.001 / similarity)).cast("int")
     rows = reps.select("node", F.least(band, F.lit(127)).alias("band"), F.floor(F.col("pop") / (radius + 1)).cast("int").alias("level"), F.concat(F.array("node"), "fp").alias("row"))
     deltas = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
     pairs = tile_pairs(rows, ["band", "level"], 128, "node", F.flatten(F.collect_list("row")), deltas, 128, 1 << 14, tile)
     width = 1 + WIDE_BITS // 64
-    roots = connected_components(forest_links(pairs, lambda g, h, forest: compare_wide(g.reshape(-1, width), h.reshape(-1, width), radius, first, forest)))
+    links = saved(forest_links(pairs, lambda g, h, forest: compare_wide(g.reshape(-1, width), h.reshape(-1, width), sure, radius, first, forest)), "wide-links")
+    close = verified(links.where("not sure"), docs, words, similarity)
+    roots = connected_components(links.where("sure").select("a", "b").union(close))
     named = reps.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id"))
     return marked.select("doc_id", "k1", "k2").join(saved(named, "wide-components"), ["k1", "k2"]).select("doc_id", "component_id")
 
