@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from ..functions.scalars import parent_kind
 
 
-def dedup(alerts: DataFrame, seconds: float = 5.0, ts: str = "t", keys: tuple[str, ...] = ("kind", "src", "message")) -> DataFrame:
-    """Adds published: a key's alert is held back until ``seconds`` after its last published one. One fold a key."""
+def dedup(alerts: DataFrame, seconds: float = 5.0, ts: str = "t", keys: tuple[str, ...] = ("kind", "src", "message"), order: tuple[str, ...] = ()) -> DataFrame:
+    """Adds published: a key's alert is held back until ``seconds`` after its last published one. One fold a key.
+
+    ``order`` names the columns of the fold's order where ``ts`` alone has ties.
+    """
     schema = f"{', '.join(f'`{n}` {k}' for n, k in alerts.dtypes)}, published boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
+        pdf = pdf.sort_values(list(order) or ts, kind="stable")
         last, out = None, []
         for t in pdf[ts]:
             go = last is None or t - last >= seconds

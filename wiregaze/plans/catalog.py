@@ -436,6 +436,12 @@ def dedup(spark, sf):
     return A.dedup(kinds(spark, sf).where("src < '10.0.0.2'").select("seq", "t", "kind", "src", "message"), 86400).select("seq", "published")
 
 
+# the SQL above recurses and is bounded to some sources; this one is over all alerts, and tests compare it with a fold
+@query("W14_dedup_all")
+def dedup_all(spark, sf):
+    return A.dedup(kinds(spark, sf).select("seq", "t", "kind", "src", "message"), 86400, order=("t", "seq")).select("seq", "published")
+
+
 @query("F17_W13_rising_edge", f"WITH {SOURCE_SQL}, fl AS (SELECT *, packets >= 2 AS hot, lag(packets >= 2, 1, false) OVER (PARTITION BY src ORDER BY hour) AS was FROM sr) SELECT hour, src, packets FROM fl WHERE hot AND NOT was")
 def rising(spark, sf):
     return A.rising(sources(spark, sf).withColumn("hot", F.col("packets") >= 2), "hot", "src", "hour").select("hour", "src", "packets")
@@ -721,3 +727,12 @@ def stream_dedup(spark, sf):
 
     a = kinds(spark, sf).where("src < '10.0.0.2'").select("kind", "src", "message", F.col("t").cast("double").alias("t"))
     return run_stream(a, lambda s: live(s, 86400.0))
+
+
+@query("M6_stream_dedup_all")
+def stream_dedup_all(spark, sf):
+    from ..streaming.live import dedup as live
+    from .workspace import run_stream
+
+    a = kinds(spark, sf).select("kind", "src", "message", F.col("t").cast("double").alias("t"))
+    return run_stream(a, lambda s: live(s, 86400.0))
