@@ -129,6 +129,24 @@ def test_similar_groups_find_planted_copies(spark, tile):
     assert all(c // 10 == d // 10 for d, c in got.items())
 
 
+def test_similar_groups_of_a_crowd(spark):
+    """One group of edited copies about the similarity, most pairs doubtful: the groups are those of all exact pairs."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 10**9, 504)
+    texts = [" ".join(map(str, np.where(rng.random(504) < 0.0138, rng.integers(0, 10**9, 504), base))) for _ in range(500)]
+    sets = [set(zip(*[t.split()[k : len(t.split()) - 4 + k] for k in range(5)])) for t in texts]
+    up = simhash.Forest()
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(x & sets[j])
+            if common >= 0.8 * (len(x) + len(sets[j]) - common):
+                up.link(i, j)
+    want = {i: up.root(i) for i in range(len(sets))}
+    assert 5 < len(set(want.values())) < 495
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_similar_groups_odd_and_empty(odd, empty):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(odd).collect()}
     assert got[1] == got[2] == got[3] == 1 and got[5] == got[4] == 4 and got[7] == 7

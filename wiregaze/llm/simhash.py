@@ -131,7 +131,8 @@ def compare_wide(a: np.ndarray, b: np.ndarray, sure: int, radius: int, first: in
     """Rows are a node and its fingerprint's words. All bits are compared where the first HEAD words differ in at most ``first``.
 
     Links of ``sure`` bits or fewer go to the forest; those up to ``radius`` are given as rows (node, node)
-    to be verified: all of a strip, or where those outnumber its rows, the NEAREST of each row.
+    to be verified: all of a strip, or where those outnumber its rows, the NEAREST of each row. A crowded
+    strip also gives (node, node) of each of its nodes with itself; ``crowded_links`` compares those again.
     """
     ids = b[:, 0].view(np.int64)
     for at in range(0, len(a), STRIP):
@@ -157,11 +158,36 @@ def compare_wide(a: np.ndarray, b: np.ndarray, sure: int, radius: int, first: in
                 order = np.lexsort((bits, side))
                 ranks = np.arange(len(order)) - np.searchsorted(side[order], side[order])
                 keep[order[ranks < NEAREST]] = True
+            crowd = np.concatenate([own[np.unique(i)], ids[np.unique(j)]])
+            yield np.stack([crowd, crowd], axis=1)
             i, j = i[keep], j[keep]
         if len(i):
             yield np.stack([own[i], ids[j]], axis=1)
 
 
+def apart_blocks(a: np.ndarray, b: np.ndarray, radius: int, first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows are a node, its group and its fingerprint's words. All pairs within ``radius`` bits whose groups differ.
+
+    Given as blocks of STRIP rows of either side at most: nodes, and for each pair the two places among them.
+    """
+    for at in range(0, len(a), STRIP):
+        part = a[at : at + STRIP]
+        for to in range(0, len(b), STRIP):
+            other = b[to : to + STRIP]
+            apart = np.zeros((len(part), len(other)), np.uint8)
+            for k in range(2, HEAD + 2):
+                apart += np.bitwise_count(part[:, k, None] ^ other[None, :, k])
+            i, j = np.nonzero((apart <= first) & (part[:, 1, None] != other[None, :, 1]))
+            if not len(i):
+                continue
+            bits = np.concatenate([np.bitwise_count(part[i[k : k + BLOCK], 2:] ^ other[j[k : k + BLOCK], 2:]).sum(axis=1, dtype=np.int16) for k in range(0, len(i), BLOCK)])
+            near = bits <= radius
+            if near.any():
+                rows, x = np.unique(i[near], return_inverse=True)
+                cols, y = np.unique(j[near], return_inverse=True)
+                yield np.concatenate([part[rows, 0], other[cols, 0]]).view(np.int64), x, y + len(rows)
+
+
 def tile_pairs(rows: DataFrame, coords: list[str], base: int, key: str, members: Column, deltas: list[tuple[int, ...]], share: int, most: int, tile: int | None = None) -> DataFrame:
     """Pairs of tiles (guests, fps) that are to be compared.
 
@@ -197,7 +223,8 @@ def tile_pairs(rows: DataFrame, coords: list[str], base: int, key: str, members:
 def forest_links(pairs: DataFrame, visit: Callable[[np.ndarray, np.ndarray, Forest], Iterable[np.ndarray]]) -> DataFrame:
     """Apply ``visit`` to each pair of tiles; every task gives a spanning forest of its links (a, b, sure).
 
-    The pairs that ``visit`` returns follow as links that are not sure, unless the task's forest joins them.
+    The pairs that ``visit`` returns follow as links that are not sure, unless the task's forest joins them;
+    those of a node with itself always do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +235,7 @@ def forest_links(pairs: DataFrame, visit: Callable[[np.ndarray, np.ndarray, Fore
         sure = np.array(forest.links(), np.int64).T
         rest = np.concatenate(doubtful)
         trees = {x: forest.root(x) for x in list(forest.up)}
-        rest = rest[np.array([trees.get(x, x) != trees.get(y, y) for x, y in rest.tolist()], bool)]
+        rest = np.unique(rest[np.array([x == y or trees.get(x, x) != trees.get(y, y) for x, y in rest.tolist()], bool)], axis=0)
         for links, flag in ((sure, True), (rest, False)):
             for at in range(0, len(links), 1 << 16):
                 a, b = links[at : at + (1 << 16)].T
@@ -273,6 +300,14 @@ def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, pop int, fp array<long>")
 
 
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two shingle sets have the similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common > 0 and common >= similarity * (len(x) + len(y) - common)
+
+
 def verified(links: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links (a, b) between doc_ids whose shingle sets have the similarity, computed from their texts."""
     links = saved(links.select("a", "b").distinct(), "doubtful")
@@ -287,19 +322,61 @@ def verified(links: DataFrame, docs: DataFrame, words: int, similarity: float) -
             keep = []
             for s, t in zip(batch.column(2), batch.column(3)):
                 x, y = shingle_set(s.as_py(), words), shingle_set(t.as_py(), words)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common > 0 and common >= similarity * (len(x) + len(y) - common))
+                keep.append(similar(x, y, similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
+def crowded_links(rows: DataFrame, docs: DataFrame, words: int, similarity: float, pairs: DataFrame, radius: int, first: int) -> DataFrame:
+    """Links (a, b) that join the groups of ``pairs`` (tiles of node, group, fingerprint) as all similar pairs would.
+
+    Every pair within ``radius`` between two groups is decided by its shingle sets, unless its block has joined it.
+    """
+    width = 2 + WIDE_BITS // 64
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, h in zip(batch.column(0), batch.column(1)):
+                tiles = [t.values.to_numpy().view(np.uint64).reshape(-1, width) for t in (g, h)]
+                for block in apart_blocks(*tiles, radius, first):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) for x, t in zip(block, (pa.int64(), pa.int32(), pa.int32()))], ["nodes", "x", "y"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["node", "hashes"])
+
+    def decide(group: pa.Table) -> pa.Table:
+        own: dict[int, list[np.ndarray]] = {}
+        for place, hashes in zip(group["place"].to_pylist(), group["hashes"]):
+            own.setdefault(place, []).append(hashes.values.to_numpy().view(np.uint64))
+        nodes = dict(zip(group["place"].to_pylist(), group["node"].to_pylist()))
+        x, y = next((p, q) for p, q in zip(group["x"].to_pylist(), group["y"].to_pylist()) if p is not None)
+        forest = Forest()
+        for i, j in zip(x, y):
+            a, b = nodes[i], nodes[j]
+            if forest.root(a) != forest.root(b) and any(similar(s, t, similarity) for s in own[i] for t in own[j]):
+                forest.link(a, b)
+        return pa.table([pa.array(z, pa.int64()) for z in forest.links()], ["a", "b"])
+
+    found = saved(pairs.mapInArrow(blocks, "nodes array<long>, x array<int>, y array<int>").withColumn("block", F.monotonically_increasing_id()), "crowded-blocks")
+    ends = rows.select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ends, "doc_id", "left_semi").distinct()
+    texts = saved(texts.mapInArrow(sets, "node long, hashes array<long>"), "crowded-sets")
+    members = found.select("block", "x", "y", F.posexplode("nodes").alias("place", "node"))
+    # the pairs of a block go with its first node only
+    members = members.select("block", "place", "node", *[F.when(F.col("place") == 0, F.col(c)).alias(c) for c in ("x", "y")])
+    return members.join(texts.hint("merge"), "node").groupBy("block").applyInArrow(decide, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY, tile: int | None = None) -> DataFrame:
     """doc_id, component_id: groups of documents whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     A pair of sets of like size and similarity J has cosine c = 2J / (1 + J), and each bit of their
     fingerprints differs with chance acos(c) / pi. Pairs MARGIN standard deviations closer than that are linked;
-    those up to as many further away are verified on their texts, unless they are linked already. Cells are
+    those up to as many further away are verified on their texts, unless they are linked already; in crowded
+    strips the nearest first, then all that are still in different groups. Cells are
     sizes in steps of the similarity, as sets whose sizes differ more cannot reach it, and population counts
     in steps of the radius. The comparison is the one of ``near_duplicates``, first of 128 bits with a radius
     that hardly any link exceeds, then of all bits.
@@ -321,8 +398,18 @@ def similar_groups(docs: DataFrame, words: int = WIDE_WORDS, similarity: float =
     pairs = tile_pairs(rows, ["band", "level"], 128, "node", F.flatten(F.collect_list("row")), deltas, 128, 1 << 14, tile)
     width = 1 + WIDE_BITS // 64
     links = saved(forest_links(pairs, lambda g, h, forest: compare_wide(g.reshape(-1, width), h.reshape(-1, width), sure, radius, first, forest)), "wide-links")
-    close = verified(links.where("not sure"), docs, words, similarity)
-    roots = connected_components(links.where("sure").select("a", "b").union(close))
+    close = verified(links.where("not sure and a <> b"), docs, words, similarity)
+    joined = links.where("sure").select("a", "b").union(close)
+    roots = connected_components(joined)
+    crowd = saved(links.where("not sure and a = b").select(F.col("a").alias("node")).distinct(), "crowded")
+    if not crowd.isEmpty():
+        # what the nearest of crowded strips left apart: all pairs between their groups
+        roots = saved(roots, "wide-roots")
+        again = rows.join(crowd, "node", "left_semi").join(roots, "node", "left").withColumn("row", F.concat(F.array("node", F.coalesce("root", "node")), F.slice("row", 2, width - 1)))
+        again = saved(again.select("node", "band", "level", "row"), "crowded-rows")
+        pairs = tile_pairs(again, ["band", "level"], 128, "node", F.flatten(F.collect_list("row")), deltas, 128, 1 << 14, tile)
+        rest = crowded_links(again, docs, words, similarity, pairs, radius, first)
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
     named = reps.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id"))
     return marked.select("doc_id", "k1", "k2").join(saved(named, "wide-components"), ["k1", "k2"]).select("doc_id", "component_id")
 
