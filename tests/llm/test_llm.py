@@ -147,6 +147,22 @@ def test_similar_groups_of_a_crowd(spark):
     assert got == want
 
 
+def test_similar_groups_of_short_texts(spark):
+    """Few shingles: nested sets of 0.8 or more are joined, those just below are not."""
+    rows, want = [], {}
+    for g in range(150):
+        for a, b, tail in ((8, 9, 0), (9, 10, 0), (10, 12, 0), (11, 13, 0), (12, 12, 1), (24, 29, 0), (50, 60, 0), (64, 80, 0)):
+            d = len(rows)
+            w = [f"g{g}a{a}b{b}w{i}" for i in range(b)]
+            other = w[: a - tail] + ["end"] * tail
+            rows += [(d, " ".join(w)), (d + 1, " ".join(other))]
+            want[d] = d
+            want[d + 1] = d if jaccard(" ".join(w), " ".join(other)) >= 0.8 else d + 1
+    assert sum(d == c for d, c in want.items()) > 150 * 9
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: (got[d], c) for d, c in want.items() if got[d] != c} == {}
+
+
 def test_similar_groups_odd_and_empty(odd, empty):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(odd).collect()}
     assert got[1] == got[2] == got[3] == 1 and got[5] == got[4] == 4 and got[7] == 7

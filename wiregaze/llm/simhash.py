@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -42,6 +43,9 @@ STRIP = 256
 #: Standard deviations about the similarity within which pairs are verified; partners of a row in a crowded strip.
 MARGIN = 3
 NEAREST = 4
+#: Sets of so many shingles at most have limits by their sizes, so many standard deviations about the exact chances.
+FEW = 64
+FEW_MARGIN = 6
 BROADCAST_BYTES = 8 << 20
 # The increments and multipliers of the splitmix64 generator.
 STEPS = np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -127,24 +131,89 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> tuple[
     return ()
 
 
-def compare_wide(a: np.ndarray, b: np.ndarray, sure: int, radius: int, first: int, forest: Forest) -> Iterator[np.ndarray]:
-    """Rows are a node and its fingerprint's words. All bits are compared where the first HEAD words differ in at most ``first``.
+def bit_differs(a: int, b: int, common: int) -> float:
+    """The chance that a bit of the fingerprints of sets of a and b shingles differs: strict majorities of fair bits."""
+
+    def pmf(n: int) -> np.ndarray:
+        return np.array([math.comb(n, i) for i in range(n + 1)], float) / 2.0**n
+
+    def up(n: int) -> np.ndarray:
+        tail = np.append(np.cumsum(pmf(n - common)[::-1])[::-1], 0)  # of i or more of the others
+        return tail[np.clip(n // 2 + 1 - np.arange(common + 1), 0, n - common + 1)]
+
+    p, q = up(a), up(b)
+    return float(pmf(common) @ (p * (1 - q) + q * (1 - p)))
+
+
+class Limits:
+    """sure, radius and first bits of ``compare_wide``: those given, or of pairs with a set of FEW shingles or fewer, by both sizes."""
+
+    def __init__(self, similarity: float, sure: int, radius: int, first: int):
+        self.given = (sure, radius, first)
+        top = int(FEW / similarity) + 1
+        # sizes that cannot reach the similarity have a radius below zero
+        self.few = np.full((3, top + 1, top + 1), -1, np.int16)
+        for a in range(1, FEW + 1):
+            for b in range(a, min(top, int(a / similarity + 1e-9)) + 1):
+                least = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+                if least > a:
+                    continue
+                # parity makes the chances uneven in the common shingles, over a few of them only
+                like = max(bit_differs(a, b, k) for k in range(least, min(a, least + 4) + 1))
+                unlike = min(bit_differs(a, b, k) for k in range(max(0, least - 4), least))
+                spread = lambda p: math.sqrt(p * (1 - p))
+                far = min(WIDE_BITS, int(WIDE_BITS * like + FEW_MARGIN * math.sqrt(WIDE_BITS) * spread(like)))
+                near = int(WIDE_BITS * unlike - FEW_MARGIN * math.sqrt(WIDE_BITS) * spread(unlike))
+                bits = 64 * HEAD
+                head = min(bits, int(bits * like + FEW_MARGIN * math.sqrt(bits) * spread(like)))
+                self.few[:, a, b] = self.few[:, b, a] = max(-1, min(near, far)), far, head
+        self.top, self.widest = top, max(radius, int(self.few[1].max()))
+
+    def heads(self, apart: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs of sizes n and m whose first words differ in few enough bits."""
+        if not apart.size or min(n.min(), m.min()) > FEW:
+            return np.nonzero(apart <= self.given[2])
+        i, j = np.nonzero(apart <= max(self.given[2], int(self.few[2].max())))
+        keep = apart[i, j] <= self.of(2, n[i], m[j])
+        return i[keep], j[keep]
+
+    def of(self, which: int, n: np.ndarray, m: np.ndarray) -> np.ndarray | int:
+        """Limit ``which`` of each pair of sizes."""
+        if not n.size or not m.size or min(n.min(), m.min()) > FEW:
+            return self.given[which]
+        small = self.few[which][np.minimum(n, self.top), np.minimum(m, self.top)]
+        return np.where(np.minimum(n, m) > FEW, self.given[which], np.where(np.maximum(n, m) > self.top, -1, small)).astype(np.int16)
+
+
+@lru_cache(maxsize=4)
+def limits(similarity: float) -> Limits:
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    spread = math.sqrt(share * (1 - share))
+    margin = MARGIN * math.sqrt(WIDE_BITS) * spread
+    sure, radius = int(WIDE_BITS * share - margin), int(WIDE_BITS * share + margin)
+    bits = 64 * HEAD
+    return Limits(similarity, sure, radius, int(bits * radius / WIDE_BITS + 4.5 * math.sqrt(bits) * spread))
+
+
+def compare_wide(a: np.ndarray, b: np.ndarray, lim: Limits, forest: Forest) -> Iterator[np.ndarray]:
+    """Rows are a node, its size and its fingerprint's words. All bits are compared where the first HEAD words differ in at most ``first``.
 
     Links of ``sure`` bits or fewer go to the forest; those up to ``radius`` are given as rows (node, node)
     to be verified: all of a strip, or where those outnumber its rows, the NEAREST of each row. A crowded
     strip also gives (node, node) of each of its nodes with itself; ``crowded_links`` compares those again.
     """
-    ids = b[:, 0].view(np.int64)
+    ids, m = b[:, 0].view(np.int64), b[:, 1].view(np.int64)
     for at in range(0, len(a), STRIP):
         part = a[at : at + STRIP]
-        own = part[:, 0].view(np.int64)
+        own, n = part[:, 0].view(np.int64), part[:, 1].view(np.int64)
         apart = np.zeros((len(part), len(b)), np.uint8)
-        for k in range(1, HEAD + 1):
+        for k in range(2, HEAD + 2):
             apart += np.bitwise_count(part[:, k, None] ^ b[None, :, k])
-        i, j = np.nonzero(apart <= first)
+        i, j = lim.heads(apart, n, m)
         if not len(i):
             continue
-        bits = np.concatenate([np.bitwise_count(part[i[k : k + BLOCK], 1:] ^ b[j[k : k + BLOCK], 1:]).sum(axis=1, dtype=np.int16) for k in range(0, len(i), BLOCK)])
+        bits = np.concatenate([np.bitwise_count(part[i[k : k + BLOCK], 2:] ^ b[j[k : k + BLOCK], 2:]).sum(axis=1, dtype=np.int16) for k in range(0, len(i), BLOCK)])
+        sure, radius = lim.of(0, n[i], m[j]), lim.of(1, n[i], m[j])
         near = np.zeros(apart.shape, bool)
         near[i[bits <= sure], j[bits <= sure]] = True
         rows, cols = near.any(axis=1), near.any(axis=0)
@@ -165,23 +234,27 @@ def compare_wide(a: np.ndarray, b: np.ndarray, sure: int, radius: int, first: in
             yield np.stack([own[i], ids[j]], axis=1)
 
 
-def apart_blocks(a: np.ndarray, b: np.ndarray, radius: int, first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows are a node, its group and its fingerprint's words. All pairs within ``radius`` bits whose groups differ.
+def apart_blocks(a: np.ndarray, b: np.ndarray, lim: Limits) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows are a node, its size, its fingerprint's words and its group. All pairs within the radius whose groups differ.
 
     Given as blocks of STRIP rows of either side at most: nodes, and for each pair the two places among them.
     """
     for at in range(0, len(a), STRIP):
         part = a[at : at + STRIP]
+        n = part[:, 1].view(np.int64)
         for to in range(0, len(b), STRIP):
             other = b[to : to + STRIP]
+            m = other[:, 1].view(np.int64)
             apart = np.zeros((len(part), len(other)), np.uint8)
             for k in range(2, HEAD + 2):
                 apart += np.bitwise_count(part[:, k, None] ^ other[None, :, k])
-            i, j = np.nonzero((apart <= first) & (part[:, 1, None] != other[None, :, 1]))
+            i, j = lim.heads(apart, n, m)
+            split = part[i, -1] != other[j, -1]
+            i, j = i[split], j[split]
             if not len(i):
                 continue
-            bits = np.concatenate([np.bitwise_count(part[i[k : k + BLOCK], 2:] ^ other[j[k : k + BLOCK], 2:]).sum(axis=1, dtype=np.int16) for k in range(0, len(i), BLOCK)])
-            near = bits <= radius
+            bits = np.concatenate([np.bitwise_count(part[i[k : k + BLOCK], 2:-1] ^ other[j[k : k + BLOCK], 2:-1]).sum(axis=1, dtype=np.int16) for k in range(0, len(i), BLOCK)])
+            near = bits <= lim.of(1, n[i], m[j])
             if near.any():
                 rows, x = np.unique(i[near], return_inverse=True)
                 cols, y = np.unique(j[near], return_inverse=True)
@@ -328,18 +401,18 @@ def verified(links: DataFrame, docs: DataFrame, words: int, similarity: float) -
     return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def crowded_links(rows: DataFrame, docs: DataFrame, words: int, similarity: float, pairs: DataFrame, radius: int, first: int) -> DataFrame:
-    """Links (a, b) that join the groups of ``pairs`` (tiles of node, group, fingerprint) as all similar pairs would.
+def crowded_links(rows: DataFrame, docs: DataFrame, words: int, similarity: float, pairs: DataFrame, lim: Limits) -> DataFrame:
+    """Links (a, b) that join the groups of ``pairs`` (tiles of node, size, fingerprint, group) as all similar pairs would.
 
-    Every pair within ``radius`` between two groups is decided by its shingle sets, unless its block has joined it.
+    Every pair within the radius between two groups is decided by its shingle sets, unless its block has joined it.
     """
-    width = 2 + WIDE_BITS // 64
+    width = 3 + WIDE_BITS // 64
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g, h in zip(batch.column(0), batch.column(1)):
                 tiles = [t.values.to_numpy().view(np.uint64).reshape(-1, width) for t in (g, h)]
-                for block in apart_blocks(*tiles, radius, first):
+                for block in apart_blocks(*tiles, lim):
                     yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) for x, t in zip(block, (pa.int64(), pa.int32(), pa.int32()))], ["nodes", "x", "y"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,26 +451,22 @@ def similar_groups(docs: DataFrame, words: int = WIDE_WORDS, similarity: float =
     those up to as many further away are verified on their texts, unless they are linked already; in crowded
     strips the nearest first, then all that are still in different groups. Cells are
     sizes in steps of the similarity, as sets whose sizes differ more cannot reach it, and population counts
-    in steps of the radius. The comparison is the one of ``near_duplicates``, first of 128 bits with a radius
+    in steps of the widest radius. Sets of few shingles are far from that chance, as a set bit needs a strict majority:
+    ``Limits`` has exact ones for their sizes. The comparison is the one of ``near_duplicates``, first of 128 bits with a radius
     that hardly any link exceeds, then of all bits.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    spread = math.sqrt(share * (1 - share))
-    margin = MARGIN * math.sqrt(WIDE_BITS) * spread
-    sure, radius = int(WIDE_BITS * share - margin), int(WIDE_BITS * share + margin)
-    bits = 64 * HEAD
-    first = int(bits * radius / WIDE_BITS + 4.5 * math.sqrt(bits) * spread)
+    lim = limits(similarity)
     marked = wide_fingerprints(docs, words).select("doc_id", "n", "pop", "fp", F.xxhash64("fp").alias("k1"), F.xxhash64(F.lit("fp"), "fp").alias("k2"))
     marked = saved(marked, "wide-fingerprints")
     reps = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("pop").alias("pop"), F.first("fp").alias("fp"))
     reps = saved(reps, "wide-distinct")
     # a size on the edge of a step may fall to either side of it: the steps are a little wider than the similarity's
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1.001 / similarity)).cast("int")
-    rows = reps.select("node", F.least(band, F.lit(127)).alias("band"), F.floor(F.col("pop") / (radius + 1)).cast("int").alias("level"), F.concat(F.array("node"), "fp").alias("row"))
+    rows = reps.select("node", F.least(band, F.lit(127)).alias("band"), F.floor(F.col("pop") / (lim.widest + 1)).cast("int").alias("level"), F.concat(F.array("node", "n"), "fp").alias("row"))
     deltas = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
     pairs = tile_pairs(rows, ["band", "level"], 128, "node", F.flatten(F.collect_list("row")), deltas, 128, 1 << 14, tile)
-    width = 1 + WIDE_BITS // 64
-    links = saved(forest_links(pairs, lambda g, h, forest: compare_wide(g.reshape(-1, width), h.reshape(-1, width), sure, radius, first, forest)), "wide-links")
+    width = 2 + WIDE_BITS // 64
+    links = saved(forest_links(pairs, lambda g, h, forest: compare_wide(g.reshape(-1, width), h.reshape(-1, width), lim, forest)), "wide-links")
     close = verified(links.where("not sure and a <> b"), docs, words, similarity)
     joined = links.where("sure").select("a", "b").union(close)
     roots = connected_components(joined)
@@ -405,10 +474,10 @@ def similar_groups(docs: DataFrame, words: int = WIDE_WORDS, similarity: float =
     if not crowd.isEmpty():
         # what the nearest of crowded strips left apart: all pairs between their groups
         roots = saved(roots, "wide-roots")
-        again = rows.join(crowd, "node", "left_semi").join(roots, "node", "left").withColumn("row", F.concat(F.array("node", F.coalesce("root", "node")), F.slice("row", 2, width - 1)))
+        again = rows.join(crowd, "node", "left_semi").join(roots, "node", "left").withColumn("row", F.concat("row", F.array(F.coalesce("root", "node"))))
         again = saved(again.select("node", "band", "level", "row"), "crowded-rows")
         pairs = tile_pairs(again, ["band", "level"], 128, "node", F.flatten(F.collect_list("row")), deltas, 128, 1 << 14, tile)
-        rest = crowded_links(again, docs, words, similarity, pairs, radius, first)
+        rest = crowded_links(again, docs, words, similarity, pairs, lim)
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
     named = reps.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id"))
     return marked.select("doc_id", "k1", "k2").join(saved(named, "wide-components"), ["k1", "k2"]).select("doc_id", "component_id")
