@@ -281,6 +281,18 @@ def test_reparameterised(spark):
     assert decontam.leaks(docs, items.where(F.lit(False))).count() == 0
 
 
+def test_leaks_with_changed_words(spark):
+    """Three of 37 words changed, two names at the start of sentences changed, or one word put in; a shared phrase is no leak."""
+    words = [f"{w}{k}" for k in "abc" for w in WORDS][:37]
+    three = ["other" if i in (9, 18, 27) else w for i, w in enumerate(words)]
+    story = "Martha buys three red apples. Martha sells two of them to her old neighbour. Peter then counts what is left in the box. How many are there?"
+    short = "one two six ten cat dog sun"
+    docs = [(1, " ".join(three)), (2, story.replace("Martha", "Joanna").replace("Peter", "Simon")), (3, "we say one two big six ten cat dog sun"), (4, "then one two six ten cat went off"), (5, " ".join(words[:16]) + " and so on"), (6, " ".join(words[:15] + ["very"] + words[15:]))]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, story), (3, short)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got >= {(1, 1), (2, 2), (6, 1)} and not got & {(4, 3), (5, 1)}
+
+
 # ---- 7 language
 
 

@@ -3,7 +3,9 @@
 Words become lower-case tokens; numbers, units after numbers, and capitalised words inside a sentence become
 typed placeholders that keep their value aside. Windows of ``words`` tokens are hashed and joined between
 the documents and the benchmark. A document holds an item where at least ``coverage`` of the item's distinct
-windows occur in it. For those pairs alone, tokens are aligned along the commonest distance between window
+windows occur in it. A changed word costs up to five windows, but one token: pairs with two windows or more, near
+the commonest distance and over a ``SEED`` of the item's tokens, are hits too where at least ``covered`` of its tokens lie
+under such a window or agree along the alignment. For those pairs alone, tokens are aligned along the commonest distance between window
 positions, and slot consistency is checked: each value of the item must stand for one value of the
 document throughout. Same values everywhere is a verbatim leak, consistent other values a re-parameterised
 one; inconsistent values are reported only where the plain words alone reach the coverage.
@@ -22,6 +24,10 @@ from .common import saved, table
 
 WORDS = 5
 COVERAGE = 0.6
+#: Of an item's tokens, for a hit and to be looked at; windows may be so large a part of the item off their place, for words put in or left out.
+COVERED = 0.75
+SEED = 0.25
+DRIFT = 0.2
 #: Items shorter than a window need so many tokens.
 LEAST = 3
 BROADCAST_BYTES = 8 << 20
@@ -55,7 +61,7 @@ def windows(df: DataFrame, words: int, keep: list[str]) -> DataFrame:
     return df.select(*keep, "pos", F.xxhash64(*[F.col("w")[f"w{i}"] for i in range(words)]).alias("h"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, coverage: float = COVERAGE, least: int = LEAST) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, coverage: float = COVERAGE, least: int = LEAST, covered: float = COVERED) -> DataFrame:
     """doc_id, item_id, coverage, start (token of the document where the item starts), slots, changed, consistent, kind."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("raw")).withColumn("toks", typed(F.col("raw"))).distinct()
     items = saved(items, "items")
@@ -65,29 +71,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, coverage: f
     for n in lengths:  # one pass, and another for each length that some item falls short of a window to
         own = items.where(F.size("toks") >= n) if n == words else items.where(F.size("toks") == n)
         own = saved(windows(own, n, ["item_id"]), "item-windows")
-        sized = own.groupBy("item_id").agg(F.countDistinct("h").alias("all"))
-        first = own.groupBy("item_id", "h").agg(F.min("pos").alias("item_pos")).join(sized, "item_id")
+        sized = own.groupBy("item_id").agg(F.countDistinct("h").alias("all"), (F.max("pos") + n).alias("n"))
+        first = own.groupBy("item_id", "h").agg(F.min("pos").alias("item_pos"), F.collect_set("pos").alias("places")).join(sized, "item_id")
         first = saved(first, "item-keys")
-        small = first.count() * 40 <= BROADCAST_BYTES
-        grouped = first.groupBy("h").agg(F.collect_list(F.struct("item_id", "item_pos", "all")).alias("of")) if small else first
+        small = (first.agg(F.sum(F.size("places") * 4 + 56)).first()[0] or 0) <= BROADCAST_BYTES
+        grouped = first.groupBy("h").agg(F.collect_list(F.struct("item_id", "item_pos", "places", "all", "n")).alias("of")) if small else first
         hits = windows(texts, n, ["doc_id"]).join(F.broadcast(grouped) if small else grouped, "h")
         if small:  # a window shared by many items meets one row
             hits = hits.select("doc_id", "pos", "h", F.inline("of"))
         # once per document, item and window first: repeats of a frequent window end here
-        hits = hits.groupBy("doc_id", "item_id", "h", "all").agg(F.first("item_pos").alias("item_pos"), F.min("pos").alias("pos"))
-        pair = hits.groupBy("doc_id", "item_id", "all").agg(F.count("*").alias("got"), F.mode(F.col("pos") - F.col("item_pos"), True).alias("start"))
-        pair = pair.where(F.col("got") >= F.col("all") * coverage).select("doc_id", "item_id", (F.col("got") / F.col("all")).alias("coverage"), "start")
+        hits = hits.groupBy("doc_id", "item_id", "h", "all", "n").agg(F.first("item_pos").alias("item_pos"), F.first("places").alias("places"), F.min("pos").alias("pos"))
+        pair = hits.groupBy("doc_id", "item_id", "all", "n").agg(F.count("*").alias("got"), F.mode(F.col("pos") - F.col("item_pos"), True).alias("start"), F.collect_list(F.struct("pos", "item_pos", "places")).alias("at"))
+        near = F.filter("at", lambda w: F.abs(w["pos"] - w["item_pos"] - F.col("start")) <= F.greatest(F.lit(2), F.col("n") * DRIFT))
+        under = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform(near, lambda w: w["places"])), lambda p: F.sequence(p, p + (n - 1)))))
+        pair = pair.where("got > 1 or all = 1").withColumn("under", under)
+        pair = pair.where((F.col("got") >= F.col("all") * coverage) | (F.size("under") >= F.col("n") * SEED))
+        pair = pair.select("doc_id", "item_id", (F.col("got") / F.col("all")).alias("coverage"), "start", "under")
         found = pair if found is None else found.union(pair)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double, start int")
+        found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double, start int, under array<int>")
     found = saved(found, "pairs")
-    return with_slots(docs, items, found)
+    return with_slots(docs, items, found, coverage, covered)
 
 
-def with_slots(docs: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Compare the placeholders' values of each pair along its alignment."""
+def with_slots(docs: DataFrame, items: DataFrame, pairs: DataFrame, coverage: float = COVERAGE, covered: float = COVERED) -> DataFrame:
+    """Compare the tokens of each pair, and its placeholders' values, along its alignment."""
     own = docs.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id").select("doc_id", tokens(F.col("text")).alias("doc_raw"))
     both = pairs.join(own, "doc_id").join(items.select("item_id", "raw", F.size("raw").alias("n")), "item_id")
+    signs = ("\u0001", "\u0002", "\u0003")
+    type_ = lambda w: F.when(F.substring(w, 1, 1).isin(*signs), F.substring(w, 1, 1)).otherwise(w)
+    agrees = F.filter("raw", lambda w, i: F.array_contains("under", i) | F.coalesce(type_(w) == type_(F.get("doc_raw", F.col("start") + i)), F.lit(False)))
+    both = both.where((F.col("coverage") >= coverage) | (F.size(agrees) >= F.col("n") * covered))
     both = both.withColumn("at", F.greatest(F.col("start"), F.lit(0))).withColumn("skip", F.greatest(-F.col("start"), F.lit(0)))
     both = both.withColumn("theirs", F.slice("doc_raw", F.col("at") + 1, F.col("n") - F.col("skip"))).withColumn("ours", F.slice("raw", F.col("skip") + 1, F.col("n") - F.col("skip")))
     zipped = F.arrays_zip(F.col("ours").alias("a"), F.col("theirs").alias("b"))
@@ -99,6 +113,9 @@ def with_slots(docs: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame
     changed = F.size(F.filter("slots", lambda p: p["a"] != p["b"]))
     words = F.filter(zipped, lambda p: ~F.substring(p["a"], 1, 1).isin("\u0001", "\u0002", "\u0003"))
     plain = F.size(F.filter(words, lambda p: p["a"] == p["b"])) / F.greatest(F.size(words), F.lit(1))
+    # of the item's plain words, those under a found window: holds where a word put in shifts the alignment
+    beneath = F.size(F.filter("raw", lambda w, i: ~F.substring(w, 1, 1).isin(*signs) & F.array_contains("under", i))) / F.greatest(F.size(F.filter("raw", lambda w: ~F.substring(w, 1, 1).isin(*signs))), F.lit(1))
+    plain = F.greatest(plain, beneath)
     out = both.select("doc_id", "item_id", "coverage", "start", F.size("slots").alias("slots"), changed.alias("changed"), consistent.alias("consistent"), plain.alias("plain"))
     kind = F.when(F.col("changed") == 0, "verbatim").when(F.col("consistent"), "reparameterised").otherwise("similar")
     out = out.withColumn("kind", kind).where((F.col("kind") != "similar") | (F.col("plain") >= COVERAGE)).drop("plain")
