@@ -227,10 +227,50 @@ def test_lines_odd_and_batches(odd, empty):
 
 
 def test_fresh_keys(spark):
-    runs = lines.LineRuns()
+    runs = lines.LineRuns(spark)
     df = spark.createDataFrame([(1, 10, 1), (1, 11, 1), (2, 10, 1)], "doc_id long, h1 long, h2 long")
     assert runs.add(df.where("doc_id = 1")).count() == 2 and runs.add(df.where("doc_id = 2")).count() == 0
-    assert [tuple(r) for r in runs.repeated(2).collect()] == [(10, 1, 2)]
+    assert [tuple(r) for r in runs.repeated(2).collect()] == [(10, 1, 2, 2)]
+
+
+@pytest.mark.parametrize("fanout", [2, 3, 9])
+def test_runs_equal_one_count(spark, fanout):
+    """Seven batches: a run has a key once, one fresh row a key in all runs, counts as of all lines at once."""
+    rng = np.random.default_rng(2)
+    rows = {(int(d), int(k), int(k) % 3) for d, k in zip(rng.integers(0, 70, 900), rng.integers(0, 200, 900) ** 2 // 200)}
+    df = spark.createDataFrame(sorted(rows), "doc_id long, h1 long, h2 long")
+    runs = lines.LineRuns(spark, fanout)
+    for b in range(7):
+        runs.add(df.where(f"doc_id div 10 = {b}"))
+    held = [[tuple(r) for r in run.collect()] for run in runs.runs()]
+    assert all(len({r[:2] for r in run}) == len(run) for run in held)
+    fresh = [r[:2] for run in held for r in run if r[4]]
+    assert len(set(fresh)) == len(fresh) == len({r[1:] for r in rows})
+    docs = defaultdict(set)
+    for d, a, b in rows:
+        docs[a, b].add(d)
+    assert {tuple(r) for r in runs.repeated(3).collect()} == {(a, b, len(x), max(x)) for (a, b), x in docs.items() if len(x) >= 3}
+
+
+def test_runs_stay_where_they_are(spark):
+    """Merge-joining runs needs neither an exchange nor a sort."""
+    df = spark.createDataFrame([(i, i % 50, 1) for i in range(200)], "doc_id long, h1 long, h2 long")
+    runs = lines.LineRuns(spark, 9)
+    for b in range(2):
+        runs.add(df.where(f"doc_id % 2 = {b}"))
+    with lines.sorted_scans(spark):
+        plan = lines.LineRuns._merge(*runs.runs())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_lines_keep_columns_whatever_their_names(spark):
+    line = "a line of more than twenty characters"
+    rows = [(i, f"{line}\nown {i}", i, "a", "b", "c", "d") for i in range(5)] + [(None, line, 9, "a", "b", "c", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone long, lines string, ends string, text_hash string, keeper string")
+    got = {r["doc_id"]: r for r in lines.dedup(docs).collect()}
+    assert lines.dedup(docs).columns == [*docs.columns, "n_lines", "n_dropped", "kept"]
+    assert all(got[i]["gone"] == i and got[i]["lines"] == "a" and got[i]["text_hash"] == "c" for i in range(5))
+    assert got[4]["kept"] == f"{line}\nown 4" and got[0]["kept"] == "own 0" and got[None]["kept"] == line
 
 
 # ---- 5 personal data

@@ -1,24 +1,31 @@
 """Line deduplication over levelled sorted runs of line hashes, in DataFrame operations only.
 
-An index holds runs: tables of (h1, h2, docs, keeper) sorted by the 128-bit key hash within hash
-partitions. A new batch is summed to one row per key, merge-anti-joined with the runs to tell fresh keys
-from known ones, and added as a sorted run of level 0. When a level holds ``fanout`` runs they are merged into one
-of the next level. Counts add up and the largest doc_id wins, so the order of batches does not matter.
+An index holds runs: tables of (h1, h2, docs, keeper, fresh), bucketed and sorted by the 128-bit key hash. A new
+batch is summed to one row per key and merge-anti-joined with the runs: keys that no run has are added as fresh, the
+others as counts to add to a key of an older run. All runs have the same buckets, so neither these joins nor
+the merging of runs moves or sorts a run again. When a level holds ``fanout`` runs they are merged into one of
+the next level. A fresh row is the only one of its key; ``repeated`` adds to each the counts that newer runs
+hold for it. Counts add up and the largest doc_id wins, so the order of batches does not matter.
 
 Defined results: null or empty text is one empty line; rows that share a doc_id are one document when
-documents are counted, and each keeps its own output row; repeated lines of one document count once; an
-empty table gives no rows; other columns are ignored by the query and kept by ``dedup``.
+documents are counted, and each keeps its own output row; rows without doc_id count as one document and lose
+nothing; repeated lines of one document count once; ties cannot occur, as the largest doc_id is one; texts of
+any length are split whole; an empty table gives no rows; other columns are ignored by the query and kept by
+``dedup``, but for those named n_lines, n_dropped or kept, which it sets.
 """
 
 from __future__ import annotations
 
 import string
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, scratch_dir, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -26,6 +33,8 @@ BATCHES = 3
 FANOUT = 2
 SPACE = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
+#: Keys with more than this share of all lines are joined by broadcast: there are 1 / HOT at most.
+HOT = 1e-4
 
 
 def ascii_lower(c: Column) -> Column:
@@ -48,76 +57,107 @@ def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return keys.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
 
 
+@contextmanager
+def sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Within, scans of bucketed tables of one file a bucket are taken for as sorted as they were written."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 class LineRuns:
-    """The levels of an index; every run is a table (h1, h2, docs, keeper, fresh) in the shared folder."""
+    """The levels of an index; every run is a bucketed table (h1, h2, docs, keeper, fresh) in the shared folder."""
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout = fanout
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+        self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
 
     def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
+        """Oldest first."""
+        return [r for level in reversed(self.levels) for r in level]
 
     def _write(self, run: DataFrame) -> DataFrame:
-        return saved(run.repartition(*KEY).sortWithinPartitions(*KEY), "run")
+        name = f"wiregaze_run_{uuid.uuid4().hex}"
+        run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{scratch_dir(self.spark)}/wiregaze/{name}").saveAsTable(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # of the catalog alone: the files stay
+        return out
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Add a batch's lines (doc_id, h1, h2). Returns its keys that no earlier batch had.
-
-        Both parts of the batch are one sorted run: fresh keys, and counts to add to known ones.
-        """
+        """Add a batch's lines (doc_id, h1, h2). Returns its keys that no earlier batch had."""
         own = lines.select("doc_id", *KEY).distinct().groupBy(*KEY).agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
-        known = self.runs()
-        if known:
-            seen = self._union(known).select(*KEY, F.lit(True).alias("seen")).distinct()
-            own = own.join(seen, KEY, "left").withColumn("fresh", F.col("seen").isNull()).drop("seen")
-        else:
-            own = own.withColumn("fresh", F.lit(True))
-        run = self._write(own)
-        self._put(run, 0)
+        with sorted_scans(self.spark):
+            old = self.runs()
+            for i, r in enumerate(old):
+                own = own.join(r.select(*KEY, F.lit(True).alias(f"seen{i}")).hint("merge"), KEY, "left")
+            fresh = ~F.coalesce(*[F.col(f"seen{i}") for i in range(len(old))], F.lit(False))
+            run = self._write(own.select(*KEY, "docs", "keeper", fresh.alias("fresh")))
+            self._put(run, 0)
         return run.where("fresh").select(*KEY)
 
-    @staticmethod
-    def _union(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs)
-
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._write(self._merge(self.levels[level]))
+            merged = self._write(reduce(self._merge, self.levels[level]))
             self.levels[level] = []
             self._put(merged, level + 1)
 
-    @classmethod
-    def _merge(cls, runs: list[DataFrame]) -> DataFrame:
-        return cls._union(runs).groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"), F.lit(False).alias("fresh"))
+    @staticmethod
+    def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
+        """One run of two: each holds a key once."""
+        b = b.select(*KEY, *[F.col(c).alias(f"{c}_b") for c in ("docs", "keeper", "fresh")])
+        both = a.join(b.hint("merge"), KEY, "full")
+        none = F.lit(0).cast("long")
+        return both.select(
+            *KEY, (F.coalesce("docs", none) + F.coalesce("docs_b", none)).alias("docs"), F.greatest("keeper", "keeper_b").alias("keeper"),
+            (F.coalesce("fresh", F.lit(False)) | F.coalesce("fresh_b", F.lit(False))).alias("fresh"),
+        )
 
     def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """Keys found in at least min_docs documents, with the largest doc_id that holds them."""
-        return self._merge(self.runs()).where(F.col("docs") >= min_docs).select(*KEY, "keeper")
+        """Keys found in at least min_docs documents: docs, and keeper, the largest doc_id that holds them."""
+        old, parts = self.runs(), []
+        with sorted_scans(self.spark):
+            for i, run in enumerate(old):
+                own = run.where("fresh").drop("fresh")
+                for more in old[i + 1 :]:
+                    more = more.where("not fresh").select(*KEY, F.col("docs").alias("d"), F.col("keeper").alias("k"))
+                    own = own.join(more.hint("merge"), KEY, "left")
+                    own = own.select(*KEY, (F.col("docs") + F.coalesce("d", F.lit(0).cast("long"))).alias("docs"), F.greatest("keeper", "k").alias("keeper"))
+                parts.append(own.where(F.col("docs") >= min_docs))
+            return saved(reduce(DataFrame.unionByName, parts), "repeated")
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """The documents with n_lines, n_dropped and kept (the text left), beside their own columns."""
     lines = keyed_lines(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
     lines = saved(lines, "lines")
-    index = LineRuns(fanout)
+    index = LineRuns(docs.sparkSession, fanout)
     for b in range(batches):
         index.add(lines.where(F.col("batch") == b))
-    gone = lines.join(index.repeated(min_docs), KEY).where("doc_id <> keeper")
-    gone = gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-    cols = docs.columns
-    all_ = docs.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left")
-    none = F.array().cast("array<int>")
-    all_ = all_.withColumn("gone", F.coalesce("gone", none)).withColumn("lines", split_lines(F.col("text")))
+    repeated = index.repeated(min_docs)
+    # a key's documents are at most its lines: more than HOT of all lines have 1 / HOT keys at most, 40 bytes each
+    hot = F.col("docs") > max(1, int(lines.count() * HOT))
+    common = F.broadcast(repeated.where(hot))
+    gone = lines.join(common, KEY).unionByName(lines.join(common, KEY, "left_anti").join(repeated.where(~hot).hint("merge"), KEY))
+    gone = gone.where("doc_id <> keeper").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    # the input's row is one column, so that its names and those used here never meet
+    all_ = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("text_hash")).join(gone, ["doc_id", "text_hash"], "left")
+    all_ = all_.select("row", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), split_lines(F.col("row.text")).alias("lines"))
     n = F.size("lines")
     # kept lines lie between neighbouring dropped ones: whole slices, linear in the text
     ends = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(n))
     between = F.transform(F.sequence(F.lit(1), F.size("gone") + 1), lambda i: F.slice("lines", F.col("ends")[i - 1] + 2, F.col("ends")[i] - F.col("ends")[i - 1] - 1))
-    kept = F.when(F.size("gone") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.flatten(between), "\n"))
-    return all_.withColumn("ends", ends).select(*[F.col(c) for c in cols], n.cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), kept.alias("kept"))
+    kept = F.when(F.size("gone") == 0, F.coalesce("row.text", F.lit(""))).otherwise(F.array_join(F.flatten(between), "\n"))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+    all_ = all_.withColumn("ends", ends).select("row", n.cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), kept.alias("kept"))
+    return all_.select(*own, "n_lines", "n_dropped", "kept")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
