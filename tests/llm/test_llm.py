@@ -147,6 +147,86 @@ def test_similar_groups_of_a_crowd(spark):
     assert got == want
 
 
+def edited(rng, n, words, share):
+    base = rng.integers(0, 10**9, words)
+    return [" ".join(map(str, np.where(rng.random(words) < share, rng.integers(0, 10**9, words), base))) for _ in range(n)]
+
+
+def exact_groups(texts):
+    sets = [set(zip(*[t.split()[k : len(t.split()) - 4 + k] for k in range(5)])) for t in texts]
+    up = simhash.Forest()
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(x & sets[j])
+            if common >= 0.8 * (len(x) + len(sets[j]) - common):
+                up.link(i, j)
+    return {i: up.root(i) for i in range(len(sets))}
+
+
+def test_no_link_is_taken_on_trust(spark, monkeypatch):
+    """With all candidates sure, so that many wrong links are in the forest, the groups are still those of all exact pairs."""
+    real = simhash.limits(0.8)
+    trusting = simhash.Limits(0.8, real.given[1] - 1, *real.given[1:])
+    monkeypatch.setattr(simhash, "limits", lambda similarity: trusting)
+    rng = np.random.default_rng(4)
+    texts = edited(rng, 90, 504, 0.0138) + edited(rng, 60, 300, 0.012) + edited(rng, 30, 200, 0.2)
+    want = exact_groups(texts)
+    assert 40 < len(set(want.values())) < 175
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_comparison_needs_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    a, b = (rng.integers(0, 1 << 63, 8192, dtype=np.uint64) for _ in range(2))
+    tracemalloc.start()
+    simhash.compare(a, b, 3, simhash.Forest())
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("share", [0.001, 0.02, 0.3, 1.0])
+def test_spanning_joins_what_the_links_join(share):
+    rng = np.random.default_rng(8)
+    near = rng.random((60, 90)) < share
+    whole, part = simhash.Forest(), simhash.Forest()
+    for i, j in zip(*np.nonzero(near)):
+        whole.link(int(i), 100 + int(j))
+    found = list(simhash.spanning(near))
+    for i, j in found:
+        assert near[i, j]
+        part.link(int(i), 100 + int(j))
+    assert {x: whole.root(x) for x in list(whole.up)} == {x: part.root(x) for x in list(part.up)}
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, prose(90)), (1, prose(200, 5)), (1, prose(90)), (None, prose(200, 5) + " x"), (2, prose(200, 5)), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["row"] == r["first"]) for r in simhash.similar_groups(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, 1, True), (1, 1, True), (1, 1, True), (None, 1, False), (2, 1, False), (None, None, True)]))
+    kept = corpus_pipeline.STAGES[2][1](spark, docs, SF)
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [(1, prose(90)), (1, prose(200, 5)), (None, "alone")]))
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_and_empty_tables(odd, empty, spark, stage):
+    """Odd rows, and columns named like those used inside."""
+    names = ("score", "gone", "lines", "row", "key", "doc", "copy", "kept", "n_dropped", "pos", "h", "toks", "node")
+    docs = odd.withColumns({c: F.lit(c) for c in names})
+    run = corpus_pipeline.STAGES[stage][1]
+    got = run(spark, docs, SF).collect()
+    assert run(spark, empty.withColumns({c: F.lit(c) for c in names}), SF).count() == 0
+    if stage < 4:
+        assert run(spark, docs, SF).columns == docs.columns
+        assert {tuple(r) for r in got} <= {tuple(r) for r in docs.collect()}
+    count = {1: len(ODD_DOCS), 2: 5, 3: len(ODD_DOCS)}.get(stage)
+    assert count in (None, len(got))
+    if stage == 4:
+        assert {r["doc_id"] for r in got} == {i for i, _ in ODD_DOCS}
+
+
 def test_similar_groups_of_short_texts(spark):
     """Few shingles: nested sets of 0.8 or more are joined, those just below are not."""
     rows, want = [], {}

@@ -17,6 +17,8 @@ def scratch_dir(spark: SparkSession) -> str:
         jdir = sc._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             base = jdir.get()
+        elif not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; executors need a folder that they share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="wiregaze-")
             sc.setCheckpointDir(base)

@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import fold_of, saved, table
 
@@ -146,25 +145,33 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fourier: i
     return model
 
 
-def scored(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
-    """The rows of docs (doc_id and text among their columns) with score; with ``least``, only those that reach it."""
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score of docs' rows (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = model.score(np.array([statistics(t.as_py()) for t in b.column(1)]))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def at_least(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs (text among their columns, which stay as they are) that reach the score."""
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                s = model.score(np.array([statistics(t.as_py()) for t in b.column(at)]))
-                out = pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
-                yield out if least is None else out.filter(pa.array(s >= least))
+                yield b.filter(pa.array(model.score(np.array([statistics(t.as_py()) for t in b.column(at)])) >= least))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score, predicted for every row of docs; the text is read once more than the fitted sample."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return scored(own, fit(docs, labels)).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(docs, fit(docs, labels)).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

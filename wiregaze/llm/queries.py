@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import decontam, html, langid, lines, packing, pii, quality, simhash, topk, urls
+from . import decontam, html, langid, lines, packing, pii, pipeline, quality, simhash, topk, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,7 +15,7 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_packing": packing.op9_packing,
     "op10_urls": urls.op10_urls,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -18,7 +18,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
 
@@ -40,6 +40,8 @@ SIMILARITY = 0.8
 WIDE_BITS = 1024
 HEAD = 2
 STRIP = 256
+#: Shingles of the texts that are verified together, but for one pair: 32 MB.
+HASHES = 1 << 22
 #: Standard deviations about the similarity within which pairs are verified; partners of a row in a crowded strip.
 MARGIN = 3
 NEAREST = 4
@@ -81,7 +83,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 class Forest:
-    """Union-find over 64-bit ids that keeps the links that joined two trees."""
+    """Union-find over 64-bit ids."""
 
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
@@ -93,42 +95,47 @@ class Forest:
             x = up[x]
         return x
 
-    def link(self, x: int, y: int) -> None:
+    def link(self, x: int, y: int) -> bool:
+        """Whether the link joined two trees."""
         a, b = self.root(x), self.root(y)
         if a != b:
             self.up[max(a, b)] = min(a, b)
+        return a != b
 
     def links(self) -> tuple[list[int], list[int]]:
         a = [x for x in self.up if self.root(x) != x]
         return a, [self.root(x) for x in a]
 
 
-def link_near(near: np.ndarray, a: np.ndarray, b: np.ndarray, forest: Forest) -> None:
-    """Link a[i] and b[j] where near[i, j]. Rows of a that share their first partner are joined through it."""
-    if near.sum() <= 4 * (len(a) + len(b)):
-        for i, j in zip(*np.nonzero(near)):
-            forest.link(int(a[i]), int(b[j]))
+def spanning(near: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of the links near[i, j], enough to join all that they join: all of few, else a breadth-first forest."""
+    if near.sum() <= 4 * sum(near.shape):
+        yield from zip(*(x.tolist() for x in np.nonzero(near)))
         return
-    # many links: spread the smallest label over the matrix until it settles
-    la, lb = np.arange(len(a)), np.full(len(b), len(a) + len(b))
-    while True:
-        nb = np.minimum(lb, np.where(near, la[:, None], len(a) + len(b)).min(axis=0))
-        na = np.minimum(la, np.where(near, nb[None, :], len(a) + len(b)).min(axis=1))
-        if (na == la).all() and (nb == lb).all():
-            break
-        la, lb = na, nb
-    for x, label in ((a, la), (b, lb)):
-        for v, k in zip(x, label):
-            if k < len(a):
-                forest.link(int(v), int(a[k]))
-
-
-def compare(a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> tuple[()]:
-    """Link all fingerprints of a and b within radius; none of them is doubtful."""
-    near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
-    if near.any():
-        link_near(near, a.view(np.int64), b.view(np.int64), forest)
-    return ()
+    rows, cols = near.any(axis=1), np.ones(near.shape[1], bool)  # not yet reached
+    for start in np.nonzero(rows)[0]:
+        if not rows[start]:
+            continue
+        rows[start] = False
+        front = np.array([start])
+        while len(front):
+            new = np.nonzero(near[front].any(axis=0) & cols)[0]
+            cols[new] = False
+            yield from zip(front[near[np.ix_(front, new)].argmax(axis=0)].tolist() if len(new) else (), new.tolist())
+            front = np.nonzero(near[:, new].any(axis=1) & rows)[0]
+            rows[front] = False
+            yield from zip(front.tolist(), new[near[np.ix_(front, new)].argmax(axis=1)].tolist() if len(front) else ())
+
+
+def compare(a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> None:
+    """Link fingerprints of a and b within radius, STRIP rows at a time."""
+    for at in range(0, len(a), STRIP):
+        part = a[at : at + STRIP]
+        near = np.bitwise_count(part[:, None] ^ b[None, :]) <= radius
+        if near.any():
+            own, other = part.view(np.int64), b.view(np.int64)
+            for i, j in spanning(near):
+                forest.link(int(own[i]), int(other[j]))
 
 
 def bit_differs(a: int, b: int, common: int) -> float:
@@ -198,9 +205,9 @@ def limits(similarity: float) -> Limits:
 def compare_wide(a: np.ndarray, b: np.ndarray, lim: Limits, forest: Forest) -> Iterator[np.ndarray]:
     """Rows are a node, its size and its fingerprint's words. All bits are compared where the first HEAD words differ in at most ``first``.
 
-    Links of ``sure`` bits or fewer go to the forest; those up to ``radius`` are given as rows (node, node)
-    to be verified: all of a strip, or where those outnumber its rows, the NEAREST of each row. A crowded
-    strip also gives (node, node) of each of its nodes with itself; ``crowded_links`` compares those again.
+    Gives links to be verified as rows (node, node, size, size, sure): those of ``sure`` bits or fewer that the forest
+    lacks, and those up to ``radius``: all of a strip, or where those outnumber its rows, the NEAREST of each row. A
+    crowded strip also gives each of its nodes with itself; ``crowded_links`` compares those again.
     """
     ids, m = b[:, 0].view(np.int64), b[:, 1].view(np.int64)
     for at in range(0, len(a), STRIP):
@@ -214,11 +221,15 @@ def compare_wide(a: np.ndarray, b: np.ndarray, lim: Limits, forest: Forest) -> I
             continue
         bits = np.concatenate([np.bitwise_count(part[i[k : k + BLOCK], 2:] ^ b[j[k : k + BLOCK], 2:]).sum(axis=1, dtype=np.int16) for k in range(0, len(i), BLOCK)])
         sure, radius = lim.of(0, n[i], m[j]), lim.of(1, n[i], m[j])
+
+        def rows(i: np.ndarray, j: np.ndarray, flag: int) -> np.ndarray:
+            return np.stack([own[i], ids[j], n[i], m[j], np.full(len(i), flag)], axis=1)
+
         near = np.zeros(apart.shape, bool)
         near[i[bits <= sure], j[bits <= sure]] = True
-        rows, cols = near.any(axis=1), near.any(axis=0)
-        if rows.any():
-            link_near(near[np.ix_(rows, cols)], own[rows], ids[cols], forest)
+        joined = [(x, y) for x, y in spanning(near) if forest.link(int(own[x]), int(ids[y]))]
+        if joined:
+            yield rows(*np.array(joined).T, 1)
         open_ = (bits > sure) & (bits <= radius)
         i, j, bits = i[open_], j[open_], bits[open_]
         if len(i) > 4 * (len(part) + len(b)):
@@ -227,18 +238,35 @@ def compare_wide(a: np.ndarray, b: np.ndarray, lim: Limits, forest: Forest) -> I
                 order = np.lexsort((bits, side))
                 ranks = np.arange(len(order)) - np.searchsorted(side[order], side[order])
                 keep[order[ranks < NEAREST]] = True
-            crowd = np.concatenate([own[np.unique(i)], ids[np.unique(j)]])
-            yield np.stack([crowd, crowd], axis=1)
+            crowd = np.unique(np.concatenate([own[np.unique(i)], ids[np.unique(j)]]))
+            none = np.zeros_like(crowd)
+            yield np.stack([crowd, crowd, none, none, none], axis=1)
             i, j = i[keep], j[keep]
         if len(i):
-            yield np.stack([own[i], ids[j]], axis=1)
+            yield rows(i, j, 0)
+
+
+def pair_blocks(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of nodes of sizes n and m as blocks (nodes, places, places) of at most HASHES shingles, or one pair."""
+    order = np.lexsort((b, a))
+    places: dict[int, int] = {}
+    x: list[int] = []
+    y: list[int] = []
+    total = 0
+    for p, q, u, v in zip(*(c[order].tolist() for c in (a, b, n, m))):
+        more = (p not in places) * u + (q not in places) * v
+        if x and (total + more > HASHES or len(places) > 2 * STRIP):
+            yield np.array(list(places), np.int64), np.array(x, np.int32), np.array(y, np.int32)
+            places, x, y, total, more = {}, [], [], 0, u + v
+        total += more
+        x.append(places.setdefault(p, len(places)))
+        y.append(places.setdefault(q, len(places)))
+    if x:
+        yield np.array(list(places), np.int64), np.array(x, np.int32), np.array(y, np.int32)
 
 
 def apart_blocks(a: np.ndarray, b: np.ndarray, lim: Limits) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows are a node, its size, its fingerprint's words and its group. All pairs within the radius whose groups differ.
-
-    Given as blocks of STRIP rows of either side at most: nodes, and for each pair the two places among them.
-    """
+    """Rows are a node, its size, its fingerprint's words and its group. Blocks of all pairs within the radius whose groups differ."""
     for at in range(0, len(a), STRIP):
         part = a[at : at + STRIP]
         n = part[:, 1].view(np.int64)
@@ -255,10 +283,8 @@ def apart_blocks(a: np.ndarray, b: np.ndarray, lim: Limits) -> Iterator[tuple[np
                 continue
             bits = np.concatenate([np.bitwise_count(part[i[k : k + BLOCK], 2:-1] ^ other[j[k : k + BLOCK], 2:-1]).sum(axis=1, dtype=np.int16) for k in range(0, len(i), BLOCK)])
             near = bits <= lim.of(1, n[i], m[j])
-            if near.any():
-                rows, x = np.unique(i[near], return_inverse=True)
-                cols, y = np.unique(j[near], return_inverse=True)
-                yield np.concatenate([part[rows, 0], other[cols, 0]]).view(np.int64), x, y + len(rows)
+            i, j = i[near], j[near]
+            yield from pair_blocks(part[i, 0].view(np.int64), other[j, 0].view(np.int64), n[i], m[j])
 
 
 def tile_pairs(rows: DataFrame, coords: list[str], base: int, key: str, members: Column, deltas: list[tuple[int, ...]], share: int, most: int, tile: int | None = None) -> DataFrame:
@@ -293,28 +319,42 @@ def tile_pairs(rows: DataFrame, coords: list[str], base: int, key: str, members:
     return pairs.select("guests", "fps")
 
 
-def forest_links(pairs: DataFrame, visit: Callable[[np.ndarray, np.ndarray, Forest], Iterable[np.ndarray]]) -> DataFrame:
-    """Apply ``visit`` to each pair of tiles; every task gives a spanning forest of its links (a, b, sure).
+def forest_links(pairs: DataFrame, radius: int) -> DataFrame:
+    """Compare each pair of tiles of fingerprints; every task gives a spanning forest of its links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for batch in batches:
+            for g, h in zip(batch.column(0), batch.column(1)):
+                compare(g.values.to_numpy().view(np.uint64), h.values.to_numpy().view(np.uint64), radius, forest)
+        a, b = forest.links()
+        for at in range(0, len(a), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)], pa.int64()) for x in (a, b)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
 
-    The pairs that ``visit`` returns follow as links that are not sure, unless the task's forest joins them;
-    those of a node with itself always do.
+def wide_links(pairs: DataFrame, lim: Limits) -> DataFrame:
+    """Compare each pair of tiles of wide fingerprints: links (a, b, n, m, sure) to be verified.
+
+    Sure ones are a spanning forest of the task's; others follow unless that forest joins them; those of a node with itself always do.
     """
+    width = 2 + WIDE_BITS // 64
+    names = ["a", "b", "n", "m", "sure"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, doubtful = Forest(), [np.zeros((0, 2), np.int64)]
+        forest, found = Forest(), [np.zeros((0, 5), np.int64)]
         for batch in batches:
             for g, h in zip(batch.column(0), batch.column(1)):
-                doubtful.extend(visit(g.values.to_numpy().view(np.uint64), h.values.to_numpy().view(np.uint64), forest))
-        sure = np.array(forest.links(), np.int64).T
-        rest = np.concatenate(doubtful)
+                found.extend(compare_wide(*(t.values.to_numpy().view(np.uint64).reshape(-1, width) for t in (g, h)), lim, forest))
+        rows = np.unique(np.concatenate(found), axis=0)
         trees = {x: forest.root(x) for x in list(forest.up)}
-        rest = np.unique(rest[np.array([x == y or trees.get(x, x) != trees.get(y, y) for x, y in rest.tolist()], bool)], axis=0)
-        for links, flag in ((sure, True), (rest, False)):
-            for at in range(0, len(links), 1 << 16):
-                a, b = links[at : at + (1 << 16)].T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), flag))], ["a", "b", "sure"])
+        rows = rows[np.array([s == 1 or x == y or trees.get(x, x) != trees.get(y, y) for x, y, _, _, s in rows.tolist()], bool)]
+        for at in range(0, len(rows), 1 << 16):
+            part = rows[at : at + (1 << 16)].T
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in part[:4]], pa.array(part[4] == 1)], names)
 
-    return pairs.mapInArrow(run, "a long, b long, sure boolean")
+    return pairs.mapInArrow(run, "a long, b long, n long, m long, sure boolean")
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
@@ -322,8 +362,8 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int | None = None) ->
     q = [F.bit_count(F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))).cast("int") for m in QUARTERS]
     deltas = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
     rows = fps.select("fp", *[c.alias(f"q{i}") for i, c in enumerate(q)])
-    pairs = tile_pairs(rows, ["q0", "q1", "q2", "q3"], 17, "fp", F.collect_list("fp"), deltas, 400, 8192, tile)
-    return forest_links(pairs, lambda g, h, forest: compare(g, h, radius, forest)).select("a", "b")
+    pairs = tile_pairs(rows, ["q0", "q1", "q2", "q3"], 17, "fp", F.collect_list("fp"), deltas, 400, 1 << 17, tile)
+    return forest_links(pairs, radius)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -332,7 +372,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     fps = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = connected_components(near_links(fps.select("fp"), radius))
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # saved, so that the planner may split a group that many rows are in
+    least = saved(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     map_ = saved(named.join(least, "root").select("fp", "component_id"), "components")
     return marked.join(map_, "fp").select("doc_id", "fp", "component_id")
 
@@ -359,18 +400,23 @@ def wide_fingerprint(text: str | None, words: int) -> tuple[int, np.ndarray]:
     return len(h), np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)
 
 
+def row_key() -> Column:
+    """One key for rows of like doc_id and text; rows that share a doc_id alone have others."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (distinct shingles), pop (bits set) and fp (array of longs)."""
+    """doc_id, row (its key), n (distinct shingles), pop (bits set) and fp (array of longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [wide_fingerprint(t.as_py(), words) for t in b.column(1)]
+            found = [wide_fingerprint(t.as_py(), words) for t in b.column(2)]
             n = pa.array([n for n, _ in found], pa.int64())
             pop = pa.array([int(np.bitwise_count(fp).sum()) for _, fp in found], pa.int32())
             fp = pa.array([fp.view(np.int64) for _, fp in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), n, pop, fp], ["doc_id", "n", "pop", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, pop, fp], ["doc_id", "row", "n", "pop", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, pop int, fp array<long>")
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row long, n long, pop int, fp array<long>")
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -381,106 +427,133 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return common > 0 and common >= similarity * (len(x) + len(y) - common)
 
 
-def verified(links: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (a, b) between doc_ids whose shingle sets have the similarity, computed from their texts."""
-    links = saved(links.select("a", "b").distinct(), "doubtful")
-    ends = saved(links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct(), "ends")
-    small = ends.count() * 16 <= BROADCAST_BYTES
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ends) if small else ends, "doc_id")
-    texts = saved(texts, "doubtful-texts")
-    both = links.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
+def shingles_of(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """nodes: node, row. -> node, hashes: the sorted shingle hashes of each node's text."""
+    nodes = saved(nodes.distinct(), "ends")
+    small = nodes.count() * 16 <= BROADCAST_BYTES
+    texts = docs.select(row_key().alias("row"), F.col("text").cast("string")).join(F.broadcast(nodes) if small else nodes, "row")
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # once of repeated rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for s, t in zip(batch.column(2), batch.column(3)):
-                x, y = shingle_set(s.as_py(), words), shingle_set(t.as_py(), words)
-                keep.append(similar(x, y, similarity))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = pa.array([shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["node", "hashes"])
+
+    return saved(texts.mapInArrow(run, "node long, hashes array<long>"), "shingles")
 
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
+BLOCK_SCHEMA = "nodes array<long>, x array<int>, y array<int>"
 
-def crowded_links(rows: DataFrame, docs: DataFrame, words: int, similarity: float, pairs: DataFrame, lim: Limits) -> DataFrame:
+
+def block_batch(block: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) for x, t in zip(block, (pa.int64(), pa.int32(), pa.int32()))], ["nodes", "x", "y"])
+
+
+def decided(blocks: DataFrame, hashes: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """The pairs (a, b) of each block that have the similarity; with forest, only those that join two trees of the block.
+
+    A node's hashes go to each of its blocks once, so a node of many pairs costs as many rows as it has blocks.
+    """
+    blocks = saved(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    members = blocks.select("block", "x", "y", F.posexplode("nodes").alias("place", "node"))
+    # the pairs of a block go with its first node only
+    members = members.select("block", "place", "node", *[F.when(F.col("place") == 0, F.col(c)).alias(c) for c in ("x", "y")])
+
+    def decide(group: pa.Table) -> pa.Table:
+        places = group["place"].to_pylist()
+        own = {p: h.values.to_numpy().view(np.uint64) for p, h in zip(places, group["hashes"])}
+        nodes = dict(zip(places, group["node"].to_pylist()))
+        x, y = next((p, q) for p, q in zip(group["x"].to_pylist(), group["y"].to_pylist()) if p is not None)
+        trees, found = Forest(), []
+        for i, j in zip(x, y):
+            a, b = nodes[i], nodes[j]
+            if not (forest and trees.root(a) == trees.root(b)) and similar(own[i], own[j], similarity):
+                trees.link(a, b)
+                found.append((a, b))
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], ["a", "b"])
+
+    return members.join(hashes.hint("merge"), "node").groupBy("block").applyInArrow(decide, "a long, b long")
+
+
+def verified(links: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) among (a, b, n, m) whose shingle sets have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in pair_blocks(*(c.to_numpy() for c in batch.columns)):
+                yield block_batch(block)
+
+    return saved(decided(links.select("a", "b", "n", "m").mapInArrow(run, BLOCK_SCHEMA), hashes, similarity, False), "verified")
+
+
+def crowded_links(pairs: DataFrame, hashes: DataFrame, similarity: float, lim: Limits) -> DataFrame:
     """Links (a, b) that join the groups of ``pairs`` (tiles of node, size, fingerprint, group) as all similar pairs would.
 
     Every pair within the radius between two groups is decided by its shingle sets, unless its block has joined it.
     """
     width = 3 + WIDE_BITS // 64
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g, h in zip(batch.column(0), batch.column(1)):
-                tiles = [t.values.to_numpy().view(np.uint64).reshape(-1, width) for t in (g, h)]
-                for block in apart_blocks(*tiles, lim):
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) for x, t in zip(block, (pa.int64(), pa.int32(), pa.int32()))], ["nodes", "x", "y"])
+                for block in apart_blocks(*(t.values.to_numpy().view(np.uint64).reshape(-1, width) for t in (g, h)), lim):
+                    yield block_batch(block)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["node", "hashes"])
-
-    def decide(group: pa.Table) -> pa.Table:
-        own: dict[int, list[np.ndarray]] = {}
-        for place, hashes in zip(group["place"].to_pylist(), group["hashes"]):
-            own.setdefault(place, []).append(hashes.values.to_numpy().view(np.uint64))
-        nodes = dict(zip(group["place"].to_pylist(), group["node"].to_pylist()))
-        x, y = next((p, q) for p, q in zip(group["x"].to_pylist(), group["y"].to_pylist()) if p is not None)
-        forest = Forest()
-        for i, j in zip(x, y):
-            a, b = nodes[i], nodes[j]
-            if forest.root(a) != forest.root(b) and any(similar(s, t, similarity) for s in own[i] for t in own[j]):
-                forest.link(a, b)
-        return pa.table([pa.array(z, pa.int64()) for z in forest.links()], ["a", "b"])
-
-    found = saved(pairs.mapInArrow(blocks, "nodes array<long>, x array<int>, y array<int>").withColumn("block", F.monotonically_increasing_id()), "crowded-blocks")
-    ends = rows.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ends, "doc_id", "left_semi").distinct()
-    texts = saved(texts.mapInArrow(sets, "node long, hashes array<long>"), "crowded-sets")
-    members = found.select("block", "x", "y", F.posexplode("nodes").alias("place", "node"))
-    # the pairs of a block go with its first node only
-    members = members.select("block", "place", "node", *[F.when(F.col("place") == 0, F.col(c)).alias(c) for c in ("x", "y")])
-    return members.join(texts.hint("merge"), "node").groupBy("block").applyInArrow(decide, "a long, b long")
+    return decided(pairs.mapInArrow(run, BLOCK_SCHEMA), hashes, similarity, True)
 
 
 def similar_groups(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY, tile: int | None = None) -> DataFrame:
-    """doc_id, component_id: groups of documents whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+    """doc_id, row, component_id, first: groups of rows whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
+    component_id is a group's smallest doc_id, first the ``row_key`` of its first row by doc_id (rows without one last).
     A pair of sets of like size and similarity J has cosine c = 2J / (1 + J), and each bit of their
-    fingerprints differs with chance acos(c) / pi. Pairs MARGIN standard deviations closer than that are linked;
-    those up to as many further away are verified on their texts, unless they are linked already; in crowded
-    strips the nearest first, then all that are still in different groups. Cells are
+    fingerprints differs with chance acos(c) / pi. Pairs up to MARGIN standard deviations further apart than that are
+    candidates, and every link is verified on its texts: first a spanning forest of the pairs as many deviations closer and
+    all others between its trees; in crowded strips only the nearest of those. Nodes of crowded strips, and all of a
+    tree of which a link failed, are then compared again: each candidate pair between two groups is decided on its texts. Cells are
     sizes in steps of the similarity, as sets whose sizes differ more cannot reach it, and population counts
     in steps of the widest radius. Sets of few shingles are far from that chance, as a set bit needs a strict majority:
     ``Limits`` has exact ones for their sizes. The comparison is the one of ``near_duplicates``, first of 128 bits with a radius
     that hardly any link exceeds, then of all bits.
     """
     lim = limits(similarity)
-    marked = wide_fingerprints(docs, words).select("doc_id", "n", "pop", "fp", F.xxhash64("fp").alias("k1"), F.xxhash64(F.lit("fp"), "fp").alias("k2"))
+    marked = wide_fingerprints(docs, words).select("doc_id", "row", "n", "pop", "fp", F.xxhash64("fp").alias("k1"), F.xxhash64(F.lit("fp"), "fp").alias("k2"))
     marked = saved(marked, "wide-fingerprints")
-    reps = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("pop").alias("pop"), F.first("fp").alias("fp"))
-    reps = saved(reps, "wide-distinct")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    reps = marked.groupBy("k1", "k2").agg(least.alias("least"), F.min("n").alias("n"), F.first("pop").alias("pop"), F.first("fp").alias("fp"))
+    # texts of one fingerprint have one set, so any of them stands for it
+    reps = saved(reps.withColumn("node", F.monotonically_increasing_id()), "wide-distinct")
     # a size on the edge of a step may fall to either side of it: the steps are a little wider than the similarity's
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1.001 / similarity)).cast("int")
     rows = reps.select("node", F.least(band, F.lit(127)).alias("band"), F.floor(F.col("pop") / (lim.widest + 1)).cast("int").alias("level"), F.concat(F.array("node", "n"), "fp").alias("row"))
     deltas = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
-    pairs = tile_pairs(rows, ["band", "level"], 128, "node", F.flatten(F.collect_list("row")), deltas, 128, 1 << 14, tile)
-    width = 2 + WIDE_BITS // 64
-    links = saved(forest_links(pairs, lambda g, h, forest: compare_wide(g.reshape(-1, width), h.reshape(-1, width), lim, forest)), "wide-links")
-    close = verified(links.where("not sure and a <> b"), docs, words, similarity)
-    joined = links.where("sure").select("a", "b").union(close)
-    roots = connected_components(joined)
-    crowd = saved(links.where("not sure and a = b").select(F.col("a").alias("node")).distinct(), "crowded")
+    pairs = tile_pairs(rows, ["band", "level"], 128, "node", F.flatten(F.collect_list("row")), deltas, 128, 1 << 16, tile)
+    links = saved(wide_links(pairs, lim), "wide-links")
+    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
+    hashes = shingles_of(reps.select("node", "least.row").join(ends.distinct().hint("merge"), "node"), docs, words)
+    close = verified(links.where("a <> b"), hashes, similarity)
+    roots = connected_components(close)
+    crowd = links.where("a = b").select(F.col("a").alias("node"))
+    sure = links.where("sure").select("a", "b")
+    failed = saved(sure.join(close, ["a", "b"], "left_anti"), "failed")
+    if not failed.isEmpty():
+        trees = connected_components(sure)
+        torn = trees.join(failed.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
+        crowd = crowd.union(trees.join(torn, "root", "left_semi").select("node"))
+    crowd = saved(crowd.distinct(), "crowded")
     if not crowd.isEmpty():
         # what the nearest of crowded strips left apart: all pairs between their groups
         roots = saved(roots, "wide-roots")
         again = rows.join(crowd, "node", "left_semi").join(roots, "node", "left").withColumn("row", F.concat("row", F.array(F.coalesce("root", "node"))))
         again = saved(again.select("node", "band", "level", "row"), "crowded-rows")
-        pairs = tile_pairs(again, ["band", "level"], 128, "node", F.flatten(F.collect_list("row")), deltas, 128, 1 << 14, tile)
-        rest = crowded_links(again, docs, words, similarity, pairs, lim)
+        pairs = tile_pairs(again, ["band", "level"], 128, "node", F.flatten(F.collect_list("row")), deltas, 128, 1 << 16, tile)
+        rest = crowded_links(pairs, hashes, similarity, lim)
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
-    named = reps.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id"))
-    return marked.select("doc_id", "k1", "k2").join(saved(named, "wide-components"), ["k1", "k2"]).select("doc_id", "component_id")
+    named = saved(reps.select("k1", "k2", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "wide-roots")
+    first = named.groupBy("root").agg(F.min("least").alias("least")).select("root", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first"))
+    # saved, so that the planner may split a group that many rows are in
+    named = saved(named.join(saved(first, "wide-first"), "root").select("k1", "k2", "component_id", "first"), "wide-components")
+    return marked.select("doc_id", "row", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "row", "component_id", "first")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
