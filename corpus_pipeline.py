@@ -1,66 +1,5 @@
-"""Corpus pipeline: quality, repeated lines, near-duplicates, benchmark leaks, packing.
+"""The corpus pipeline: quality, repeated lines, near-duplicates, benchmark leaks, packing. Its stages are in wiregaze.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of
-documents; the last returns the packed pieces. Every result is written as Parquet and read again.
-"""
+from wiregaze.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from wiregaze.llm import decontam, lines, packing, quality, simhash
-from wiregaze.llm.common import saved, table
-
-#: Documents below this score go; clean ones score far above it.
-LEAST_QUALITY = 0.5
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit on the labels, drop documents scored under LEAST_QUALITY."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, LEAST_QUALITY).drop("score")
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop repeated lines; documents of which only blanks are left go, others keep their place."""
-    found = lines.dedup(docs)
-    left = found.where((F.col("n_dropped") == 0) | (F.btrim("kept", F.lit(lines.SPACE)) != ""))
-    return left.withColumns({"text": F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept")), "n_chars": F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("kept").cast("long"))}).select(*docs.columns)
-
-
-def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar documents (five words, 0.8) stays, once."""
-    keep = saved(simhash.similar_groups(docs).where("doc_id = component_id").select("doc_id").distinct(), "keep")
-    left = docs.join(keep, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return left.withColumn("_copy", F.row_number().over(one)).where("_copy = 1").drop("_copy").select(*docs.columns)
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    leaked = saved(decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
-
-
-STAGES = [
-    ("quality_classifier", quality_classifier),
-    ("line_dedup", line_dedup),
-    ("simhash_near_dedup", simhash_dedup),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("packing", pack),
-]
-
-#: SQL cannot express the classifier, the fingerprints or the tokenizer; tests compare with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
