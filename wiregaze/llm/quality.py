@@ -135,13 +135,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fourier: i
 
     # at most fit_rows rows, so a few partitions hold them and as many sums reach the driver
     parts = rows.where("half = 0").select("x", "y").coalesce(8).mapInArrow(sums, "m long, a binary, c binary").collect()
-    rest = rows.where("half = 1").select("x", "y").collect()
-    if not parts or not rest or got[1] in (0.0, 1.0):
+    if not parts or got[1] in (0.0, 1.0):
         return model
     a = sum(np.frombuffer(p["a"]).reshape(fourier + 1, -1) for p in parts)
     c, m = sum(np.frombuffer(p["c"]) for p in parts), sum(p["m"] for p in parts)
     model.coef = np.linalg.solve(a / m + RIDGE * np.eye(fourier + 1), c / m)
-    model.x, model.y = isotonic(model.raw(np.array([r["x"] for r in rest])), np.array([r["y"] for r in rest]))
+
+    def raws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(rows_of(b, 0)), pa.float64()), b.column(1)], ["raw", "y"])
+
+    # two numbers for each of at most fit_rows rows
+    rest = rows.where("half = 1").select("x", "y").mapInArrow(raws, "raw double, y double").toArrow()
+    if rest.num_rows:
+        model.x, model.y = isotonic(rest["raw"].to_numpy(), rest["y"].to_numpy())
     return model
 
 

@@ -1,18 +1,19 @@
 """Exact top-k by Hamming distance: incremental multi-index hashing (Norouzi et al., 2012).
 
-A code of 64 bits is cut into segments; the index holds every distinct code under each (segment, value).
-Round r probes, for each open query, all values at exactly r bits from its own in every segment, and
-verifies the candidates' whole distances. After round r all codes within segments * (r + 1) - 1 bits have
+A code of 64 bits is cut into segments of about log2(codes) bits, 8 to 16; the index holds every distinct code under each
+(segment, value). Round r probes, for each open query, all values at exactly r bits from its own in every segment, and
+verifies the candidates' whole distances: a pair only at its nearest segment, the first of equal ones, so once. After round r all codes within segments * (r + 1) - 1 bits have
 been seen, so a query closes once its kth neighbour is that near; the rest go on. Copies share one index
 entry with their k smallest ids, which is all that a top-k can use; a crowded bucket is split into blocks.
 
-Defined results: distances tie by id; the query row is one of all rows; null embeddings or ones of another
-length are neither queries nor rows; fewer rows than k give that many; repeated rows (one id) count once;
+Defined results: distances tie by id; the query row is one of all rows; null ids, and null embeddings or ones of another
+length, are neither queries nor rows; a null component counts as not above zero; fewer rows than k give that many; repeated rows (one id) count once;
 an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -26,34 +27,43 @@ from .common import saved, table
 
 K = 10
 BITS = 64
-SEGMENTS = 4
 BLOCK = 1024
+#: Queries whose nearest a task keeps before it hands them on.
+HELD = 1 << 14
 EVERY = 50
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
     """Bit i is 1 where component i is above zero; null unless there are ``bits`` components."""
-    v = F.when(F.size(vector) == bits, vector)
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.get(v, F.lit(i)) > 0, F.lit((1 << i) if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(bits)])
+    ones = [F.when(F.get(vector, F.lit(i)) > 0, F.lit((1 << i) if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(bits)]
+    return F.when(F.size(vector) == bits, reduce(lambda a, b: a.bitwiseOR(b), ones))
 
 
-def segment(code: Column, s: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, s * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+def cuts(codes: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each segment."""
+    n = -(-BITS // min(16, max(8, round(math.log2(max(2, codes))))))
+    ends = [BITS * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def segments(code: Column, at: list[tuple[int, int]]) -> Column:
+    """One struct (seg, value) a segment."""
+    return F.array(*[F.struct(F.lit(s).alias("seg"), F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << w) - 1)).cast("int").alias("value")) for s, (a, w) in enumerate(at)])
 
 
 def masks(width: int, r: int) -> list[int]:
     return [sum(1 << i for i in c) for c in combinations(range(width), r)]
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = K, segments: int = SEGMENTS) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = K, held: int = HELD) -> DataFrame:
     """rows, queries: id, code (long). -> query_id, rank, neighbor_id, distance."""
-    width = BITS // segments
     codes = rows.select("id", "code").distinct().groupBy("code").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     codes = saved(codes.withColumn("n", F.least("n", F.lit(k)).cast("int")), "codes")
     total = codes.count()
-    entry = F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), segment(F.col("code"), s, width).alias("value")) for s in range(segments)]))
-    by = codes.select("code", "first", "n", entry.alias("e")).select("e.seg", "e.value", "code", "first", "n")
-    # a row for each of segments * 2^width buckets at most: a bound that no input passes
+    at = cuts(total)
+    width = max(w for _, w in at)
+    by = codes.select("code", "first", "n", F.explode(segments(F.col("code"), at)).alias("e")).select("e.seg", "e.value", "code", "first", "n")
+    # a row for each of 2^16 values of four segments, or fewer, at most: a bound that no input passes
     crowded = F.broadcast(saved(by.groupBy("seg", "value").count().where(F.col("count") > BLOCK), "crowded").withColumnRenamed("count", "size"))
     by = by.join(crowded, ["seg", "value"], "left").withColumn("block", F.when(F.col("size").isNull(), 0).otherwise(F.pmod(F.xxhash64("code"), F.ceil(F.col("size") / BLOCK))))
     index = saved(by.groupBy("seg", "value", "block").agg(F.collect_list("code").alias("codes"), F.collect_list("first").alias("firsts"), F.collect_list("n").alias("ns")), "index")
@@ -61,41 +71,55 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, segments: int = SEGM
     best_type = "array<struct<d:int,first:long,code:long,n:int>>"
     state = saved(asked.select(F.col("code").alias("q")).distinct().withColumn("best", F.array().cast(best_type)).withColumn("open", F.lit(True)), "state")
 
+    kind = pa.list_(pa.struct([("d", pa.int32()), ("first", pa.int64()), ("code", pa.int64()), ("n", pa.int32())]))
+    parts = [(np.uint64(a), np.uint64((1 << w) - 1)) for a, w in at]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, set] = {}
 
         def trim(q: int) -> None:
             found[q] = set(sorted(found[q])[:k])
 
+        def out() -> pa.RecordBatch:
+            for q in found:
+                trim(q)
+            rows_ = [[dict(zip(("d", "first", "code", "n"), x)) for x in sorted(v)] for v in found.values()]
+            batch = pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(rows_, kind)], ["q", "best"])
+            found.clear()
+            return batch
+
         for b in batches:
-            for q, c, f, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3)):
+            for q, s, c, f, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4)):
                 c = c.values.to_numpy()
-                d = np.bitwise_count((c ^ q).view(np.uint64))  # of signed values numpy counts the magnitude's bits
+                x = (c ^ q).view(np.uint64)  # of signed values numpy counts the magnitude's bits
+                apart = np.stack([np.bitwise_count((x >> a) & m) for a, m in parts])
+                here = np.nonzero(apart.argmin(axis=0) == s)[0]  # the first of equal ones
+                if not len(here):
+                    continue
+                d, c = apart[:, here].sum(axis=0, dtype=np.int64), c[here]
                 own = found.setdefault(q, set())
-                f, n = f.values.to_numpy(), n.values.to_numpy()
+                f, n = f.values.to_numpy()[here], n.values.to_numpy()[here]
                 near = np.lexsort((f, d))[:k] if len(d) > k else range(len(d))
                 own.update((int(d[i]), int(f[i]), int(c[i]), int(n[i])) for i in near)
                 if len(own) > 8 * k:
                     trim(q)
-        for q in found:
-            trim(q)
-        kind = pa.list_(pa.struct([("d", pa.int32()), ("first", pa.int64()), ("code", pa.int64()), ("n", pa.int32())]))
-        rows_ = [[dict(zip(("d", "first", "code", "n"), x)) for x in sorted(v)] for v in found.values()]
+            if len(found) >= held:
+                yield out()
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(rows_, kind)], ["q", "best"])
+            yield out()
 
     for r in range(width + 1):
         todo = state.where("open")
         if todo.isEmpty():
             break
-        flips = masks(width, r)
-        probes = todo.select("q", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), segment(F.col("q"), s, width).alias("value")) for s in range(segments)])).alias("e"))
-        probes = probes.select("q", "e.seg", F.explode(F.transform(F.lit(flips), lambda m: F.col("e.value").bitwiseXOR(m))).alias("value"))
+        probes = todo.select("q", F.explode(segments(F.col("q"), at)).alias("e"))
+        # a value with a bit beyond a shorter segment is in no bucket
+        probes = probes.select("q", "e.seg", F.explode(F.transform(F.lit(masks(width, r)), lambda m: F.col("e.value").bitwiseXOR(m))).alias("value"))
         # the planner takes the exploded probes for as small as their source and would broadcast them
-        new = probes.join(index.hint("merge"), ["seg", "value"]).select("q", "codes", "firsts", "ns").mapInArrow(run, f"q long, best {best_type}")
+        new = probes.join(index.hint("merge"), ["seg", "value"]).select("q", "seg", "codes", "firsts", "ns").mapInArrow(run, f"q long, best {best_type}")
         merged = todo.select("q", "best").union(new).groupBy("q").agg(F.flatten(F.collect_list("best")).alias("best"))
         merged = merged.withColumn("best", F.slice(F.array_sort(F.array_distinct("best")), 1, k))
-        bound = segments * (r + 1) - 1
+        bound = len(at) * (r + 1) - 1
         have = F.aggregate(F.filter("best", lambda x: x["d"] <= bound), F.lit(0), lambda a, x: a + x["n"])
         closed = (have >= k) | (F.size("best") >= total) | F.lit(r == width)
         state = saved(state.where("not open").union(merged.withColumn("open", ~closed)), "state")

@@ -5,14 +5,17 @@ Trust is personalised PageRank along the edges from allowed seeds; distrust is t
 edges from blocked seeds. A seed's weight is the share of its pages that the rules allow or block, so a
 rule for one section does not condemn a host. Scores are unnormalised, score = seed + damping * received
 (a wholly blocked host has at least 1), and a host is blocked where its distrust reaches ``threshold`` and
-exceeds its trust.
+exceeds its trust. Rounds go on until all that is still to be received, by all hosts together, is at most
+``tolerance`` of the seeds' sum.
 
 Defined results: a null url or one without :// has empty host and path, no rule and, as a host of its own
-without links, the verdict allow; repeated rows stay; null html has no links; an empty table gives no rows.
+without links, the verdict allow; repeated rows stay and count as pages; null html has no links; html of any
+length is searched whole; equal trust and distrust allow; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +25,7 @@ from .common import saved, table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DAMPING = 0.85
-ROUNDS = 8
+TOLERANCE = 1e-6
 THRESHOLD = 0.5
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 HREF = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
@@ -50,30 +53,44 @@ def links(pages: DataFrame) -> DataFrame:
     return found.select("src", lower(F.col("dst")).alias("dst")).where("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """seeds: host, seed. edges: src, dst, weight. -> host, score = seed + damping * shares of src's scores."""
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = saved(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
-    score = seeds.select("host", F.col("seed").alias("score"))
-    if shares.isEmpty():
-        return score
-    for i in range(rounds):
-        got = shares.join(score.withColumnRenamed("host", "src"), "src").groupBy("dst").agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        score = seeds.join(got.withColumnRenamed("dst", "host"), "host", "left").select("host", (F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        score = saved(score, "rank")
-    return score
+def most_rounds(damping: float = DAMPING, tolerance: float = TOLERANCE) -> int:
+    """Rounds after which no graph has more than the tolerance left: round k hands on damping^k of the seeds at most."""
+    return math.ceil(math.log(tolerance * (1 - damping)) / math.log(damping))
 
 
-def host_scores(pages: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """seeds: side, host, seed, with every host of an edge. edges: side, src, dst, weight. -> side, host, score.
+
+    score = seed + damping * (shares of the scores of all src); each round adds what the last one's additions hand on.
+    """
+    out = edges.groupBy("side", "src").agg(F.sum("weight").alias("total"))
+    shares = saved(edges.join(out, ["side", "src"]).select("side", F.col("src").alias("host"), "dst", (damping * F.col("weight") / F.col("total")).alias("share")), "shares")
+    state = saved(seeds.select("side", "host", F.col("seed").alias("score"), F.col("seed").alias("new")), "rank")
+    total = state.agg(F.sum("new")).first()[0] or 0.0
+    for _ in range(most_rounds(damping, tolerance)):
+        got = shares.join(state.where("new > 0").select("side", "host", "new"), ["side", "host"]).groupBy("side", F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("new")).alias("got"))
+        new = F.coalesce("got", F.lit(0.0))
+        state = saved(state.join(got, ["side", "host"], "left").select("side", "host", (F.col("score") + new).alias("score"), new.alias("new")), "rank")
+        if (state.agg(F.sum("new")).first()[0] or 0.0) * damping / (1 - damping) <= tolerance * total:
+            break
+    return state.select("side", "host", "score")
+
+
+def host_scores(pages: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """pages: host, ruled, html. -> host, trust, distrust; linked hosts without pages included."""
     edges = saved(links(pages), "edges")
     seeds = pages.groupBy("host").agg(*[F.avg((F.coalesce("ruled", F.lit("")) == v).cast("double")).alias(v) for v in ("allow", "block")])
+    if edges.isEmpty():
+        return seeds.select("host", F.col("allow").alias("trust"), F.col("block").alias("distrust"))
     ends = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
-    seeds = saved(seeds.join(ends, "host", "full").na.fill(0.0), "seeds")
-    trust = spread(seeds.select("host", F.col("allow").alias("seed")), edges, damping, rounds)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = spread(seeds.select("host", F.col("block").alias("seed")), back, damping, rounds)
-    return trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host")
+    seeds = seeds.join(ends, "host", "full").na.fill(0.0)
+    # both sides in one walk: trust along the links, distrust against them
+    sides = F.explode(F.array(F.struct(F.lit("trust").alias("side"), F.col("allow").alias("seed")), F.struct(F.lit("distrust").alias("side"), F.col("block").alias("seed"))))
+    seeds = saved(seeds.select("host", sides.alias("s")).select("s.side", "host", "s.seed"), "seeds")
+    both = edges.withColumn("side", F.lit("trust")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit("distrust").alias("side")))
+    found = spread(seeds, both, damping, tolerance)
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("score"))).alias(side)
+    return found.groupBy("host").agg(of("trust"), of("distrust"))
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -92,28 +109,25 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def op10_sql(rules=RULES, rounds: int = ROUNDS) -> str:
+def op10_sql(rules=RULES) -> str:
     az = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     fits = [(f"((host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}'))", h + p, v) for h, p, v in sorted(rules, key=lambda r: -len(r[0] + r[1]))]
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
     parts = PARTS.replace("'", "''")
-    sql = f"""
-WITH p AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{parts}', 1), {az}) AS host,
+    return f"""
+WITH RECURSIVE p AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{parts}', 1), {az}) AS host,
                   regexp_extract(coalesce(url, ''), '{parts}', 2) AS path FROM pages),
 r AS (SELECT *, {case(1)} AS rule, {case(2)} AS ruled FROM p),
 f AS (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '{HREF.replace("'", "''")}', 1)), {az}) AS dst FROM r),
 e AS (SELECT src, dst, count(*) AS w FROM f WHERE src <> dst AND src <> '' GROUP BY ALL),
-s AS (SELECT host, sum(a) AS a, sum(b) AS b FROM (
-  SELECT host, avg((coalesce(ruled, '') = 'allow')::INT) AS a, avg((coalesce(ruled, '') = 'block')::INT) AS b FROM r GROUP BY host
-  UNION ALL SELECT src, 0, 0 FROM e UNION ALL SELECT dst, 0, 0 FROM e) GROUP BY host),
-t0 AS (SELECT host, a, b FROM s)"""
-    for i in range(rounds):
-        sql += f""",
-t{i + 1} AS (SELECT s.host, s.a + {DAMPING} * coalesce(x.g, 0) AS a, s.b + {DAMPING} * coalesce(y.g, 0) AS b FROM s
-  LEFT JOIN (SELECT e.dst AS host, sum(t.a * e.w / o.w) AS g FROM e JOIN t{i} t ON t.host = e.src
-    JOIN (SELECT src, sum(w) AS w FROM e GROUP BY src) o ON o.src = e.src GROUP BY e.dst) x ON x.host = s.host
-  LEFT JOIN (SELECT e.src AS host, sum(t.b * e.w / o.w) AS g FROM e JOIN t{i} t ON t.host = e.dst
-    JOIN (SELECT dst, sum(w) AS w FROM e GROUP BY dst) o ON o.dst = e.dst GROUP BY e.src) y ON y.host = s.host)"""
-    return sql + f"""
+e2 AS (SELECT 'trust' AS side, src, dst, w FROM e UNION ALL SELECT 'distrust', dst, src, w FROM e),
+sh AS (SELECT side, src, dst, w / sum(w) OVER (PARTITION BY side, src) AS share FROM e2),
+s AS (SELECT host, avg((coalesce(ruled, '') = 'allow')::INT) AS a, avg((coalesce(ruled, '') = 'block')::INT) AS b FROM r GROUP BY host),
+fl(k, side, host, v) AS (
+  SELECT 0, side, host, v FROM (SELECT 'trust' AS side, host, a AS v FROM s UNION ALL SELECT 'distrust', host, b FROM s) WHERE v > 0
+  UNION ALL
+  SELECT fl.k + 1, sh.side, sh.dst, sum({DAMPING} * sh.share * fl.v) FROM fl JOIN sh ON sh.side = fl.side AND sh.src = fl.host
+  WHERE fl.k < {most_rounds()} GROUP BY fl.k, sh.side, sh.dst),
+t AS (SELECT host, coalesce(sum(v) FILTER (side = 'trust'), 0) AS a, coalesce(sum(v) FILTER (side = 'distrust'), 0) AS b FROM fl GROUP BY host)
 SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN b >= {THRESHOLD} AND b > a THEN 'block' ELSE 'allow' END) AS verdict
-FROM r LEFT JOIN t{rounds} USING (host)"""
+FROM r LEFT JOIN t USING (host)"""
