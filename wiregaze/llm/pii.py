@@ -3,20 +3,24 @@
 Detectors find e-mail addresses, telephone, card and account numbers, IP addresses, social-security
 numbers, access keys, assigned secrets, and names after a title. A value's canonical form and a secret key
 give its surrogate, so the same entity gets the same one in every document and spelling; the surrogate keeps
-type, length, script and punctuation, check digits that were right stay right, and a name keeps the gender
-of its title. Distinct values of a type must get distinct surrogates, none of them a value that occurs:
-candidates are grouped in Spark, all but the first of a clash draw again, until none is left. Only
-values that drew again need a lookup; it is joined to the documents that hold them.
+type, length, script and punctuation, check digits that were right stay right, and a given name keeps the gender
+of its title. Names are replaced word by word, given names and surnames, so that "Mr John Smith", "Mr Smith" and, in a
+document that holds one of these, "John" and "Smith" alone stay one person. Distinct values of a type must get distinct
+surrogates, none of them a value that occurs: candidates are grouped in Spark, all but the first of a clash draw
+again, until none is left. Surrogates of later draws are longer or of wider ranges, so that they do not run out; numbers
+of fixed length (telephone, card, account, social-security) keep theirs, and only where a length's numbers are all but
+used up does the job stop, after MAX_DRAWS. Only values that drew again need a lookup; it is joined to the documents that hold them.
 
 Defined results: null text stays null with no entities; empty text stays empty; overlapping matches go to
-the earlier, then longer, then first type below; repeated rows are replaced alike; an empty table gives no
-rows; other columns are ignored by the query.
+the earlier, then longer, then first type below; repeated rows are replaced alike; texts of any length are read whole; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -29,27 +33,33 @@ from .common import saved, table
 #: The default only makes results repeatable; a deployment passes its own.
 DEFAULT_KEY = b"wiregaze"
 BROADCAST_BYTES = 4 << 20
-MAX_DRAWS = 32
+MAX_DRAWS = 64
 # What precedes a name, by gender; word starts of secrets; alphabets by script.
 MALE = ("mr", "sr", "señor", "senor", "herr", "monsieur", "sir")
 FEMALE = ("mrs", "ms", "miss", "sra", "señora", "senora", "frau", "mme", "madame", "lady")
 SECRET_NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credential|private[_-]?key|client[_-]?secret|session[_-]?id"
 SCRIPTS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 NAME_PARTS = {0: ("ba da fe ga ka li ma ne ro sa ti va be do lu ra", "n r s d l m t k", "a ina ela ia isa ana ora eta"), 1: ("ба да ве га ка ли ма не ро са ти ва", "н р с д л м т к", "а ина ела ия"), 2: ("βα δα κα λι μα νε ρο σα τι", "ς ν ρ", "α ινα ια ελα")}
-#: Texts without any of these hold nothing that a detector finds: all but the three named last need a digit or an @.
-HINT = re.compile(rf"[@\d]|AKIA|ASIA|(?i:{SECRET_NAMES})|\b(?i:{'|'.join(MALE + FEMALE)})\b")
+TITLES = MALE + FEMALE
+#: Texts without any of these hold nothing that a detector finds: all but those of the second need a digit or an @.
+HINT = re.compile(r"[@\d]")
+HINT_WORDS = re.compile(rf"akia|asia|{SECRET_NAMES}|\b(?:{'|'.join(TITLES)})\b")
+# What matches an ASCII letter without regard to case, and is not lowered to it.
+LIKE_ASCII = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"))
 DETECTORS: tuple[tuple[str, re.Pattern], ...] = (
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+")),
     ("secret", re.compile(rf"(?i)\b(?:[a-z]+[_-])?(?:{SECRET_NAMES})\b[\"']?\s*[:=]\s*[\"']?(?P<v>[^\s\"',;&<>]{{6,}})")),
     ("access_key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
+    ("ip6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("card", re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])")),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\d)")),
     ("token", re.compile(r"(?<![A-Za-z0-9])(?=[a-f0-9]*\d)(?=[a-f0-9]*[a-f])[a-f0-9]{32,}(?![A-Za-z0-9])")),
-    ("name", re.compile(rf"\b(?i:(?P<t>{'|'.join(MALE + FEMALE)}))\.?\s+(?P<v>[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+)?)")),
+    ("name", re.compile(rf"\b(?i:(?P<t>{'|'.join(TITLES)}))\.?\s+(?P<v>[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+){{0,2}})")),
 )
+NAME_WORD = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -69,37 +79,86 @@ def canonical(kind: str, value: str) -> str:
         return re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
-    if kind in ("email", "name"):
+    if kind == "ip6":
+        return ipaddress.IPv6Address(value).exploded
+    if kind in ("email", "given_m", "given_f", "surname"):
         return value.lower()
     return value
 
 
+def hinted(text: str) -> bool:
+    if HINT.search(text):
+        return True
+    low = text.lower()
+    if not text.isascii():
+        for c, a in LIKE_ASCII:
+            low = low.replace(c, a)
+    return HINT_WORDS.search(low) is not None
+
+
+def is_ip6(value: str) -> bool:
+    groups = [g for g in value.split(":") if g]
+    if len(groups) < 2 or not any(c.isdigit() for c in value):
+        return False
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return True
+
+
+def names(text: str, titled: list[tuple[int, int, bool]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of the words of titled names (start, end, male), and of the same words elsewhere in the text.
+
+    The last of several words is a surname, hyphens apart, the others are given names; a word alone is a surname
+    unless the text has it as a given name.
+    """
+    kinds: dict[str, str] = {}
+    alone = []
+    for a, b, male in titled:
+        cut = a + text[a:b].rfind(" ") + 1
+        if cut == a:
+            alone.append((a, b))
+            continue
+        for m in NAME_WORD.finditer(text, a, b):
+            kinds.setdefault(m[0].lower(), "surname" if m.start() >= cut else "given_m" if male else "given_f")
+    for a, b in alone:
+        for m in NAME_WORD.finditer(text, a, b):
+            kinds.setdefault(m[0].lower(), "surname")
+    if kinds:
+        for m in NAME_WORD.finditer(text):
+            if not m[0][0].islower() and (kind := kinds.get(m[0].lower())):
+                yield *m.span(), kind
+
+
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) in order, without overlaps."""
-    if not text or not HINT.search(text):
+    if not text or not hinted(text):
         return []
     found = []
     for rank, (kind, pattern) in enumerate(DETECTORS):
+        titled = []
         for m in pattern.finditer(text):
             a, b = m.span("v") if "v" in pattern.groupindex else m.span()
             value = text[a:b]
-            k = kind
             if kind == "card":
                 d = re.sub(r"\D", "", value)
                 if len(d) != 16 and not luhn(d):
                     continue
-            elif kind == "iban" and mod97(value.replace(" ", "")) != 1:
+            elif kind == "iban" and mod97(value.replace(" ", "")) != 1 or kind == "ip6" and not is_ip6(value):
                 continue
             elif kind == "phone" and not 9 <= sum(c.isdigit() for c in value) <= 15 or kind == "phone" and re.fullmatch(r"\d{4}[ .-]\d{4}", value):
                 continue
             elif kind == "name":
-                k = "name_m" if m["t"].lower() in MALE else "name_f"
-            found.append((a, -b, rank, k, value))
+                titled.append((a, b, m["t"].lower() in MALE))
+                continue
+            found.append((a, -b, rank, kind, value))
+        found += [(a, -b, rank, k, text[a:b]) for a, b, k in names(text, titled)]
     out: list[tuple[int, int, str, str]] = []
     end = 0
     for a, nb, _, kind, value in sorted(found):
         if a >= end:
-            out.append((a, -nb, kind, canonical(kind.partition("_")[0] if kind.startswith("name") else kind, value)))
+            out.append((a, -nb, kind, canonical(kind, value)))
             end = -nb
     return out
 
@@ -136,7 +195,7 @@ def like(c: str, s: Stream, hexa: bool = False) -> str:
 
 
 def surrogate(kind: str, value: str, key: bytes = DEFAULT_KEY, draw: int = 0) -> str:
-    """The canonical surrogate of a canonical value."""
+    """The canonical surrogate of a canonical value. Later draws are longer or of wider ranges."""
     s = Stream(key, kind, value, str(draw))
     if kind == "email":
         local, _, domain = value.rpartition("@")
@@ -144,9 +203,15 @@ def surrogate(kind: str, value: str, key: bytes = DEFAULT_KEY, draw: int = 0) ->
         d = Stream(key, "domain", domain, "0")
         # reserved names for what others could own; the label count stays
         host = ["".join(like(c, d) for c in x) for x in labels[:-2]] + ["example", labels[-1] if labels[-1] in ("com", "org", "net") else "com"]
-        return "".join(like(c, s) for c in local) + "@" + ".".join(host)
+        return "".join(like(c, s) for c in local) + "".join(str(s.below(10)) for _ in range(draw)) + "@" + ".".join(host)
     if kind == "ip":
-        return f"10.{s.below(256)}.{s.below(256)}.{s.below(256)}"
+        # private, then reserved, then any addresses
+        first = 10 if draw < 3 else 240 + s.below(16) if draw < 12 else s.below(256)
+        return f"{first}.{s.below(256)}.{s.below(256)}.{s.below(256)}"
+    if kind == "ip6":
+        # private; zero groups stay, so that it is shortened alike, but for later draws
+        groups = value.split(":")
+        return ":".join([f"fd{s.below(256):02x}"] + [g if draw < 3 and g == "0000" else f"{1 + s.below(0xFFFF):04x}" for g in groups[1:]])
     if kind == "access_key":
         return value[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[s.below(32)] for _ in value[4:])
     if kind == "card":
@@ -157,17 +222,15 @@ def surrogate(kind: str, value: str, key: bytes = DEFAULT_KEY, draw: int = 0) ->
         return f"{value[:2]}{98 - mod97(value[:2] + '00' + rest):02d}{rest}"
     if kind == "phone":
         keep = 1 if len(value) in (11, 12, 13) else 0
-        return value[:keep] + str(2 + s.below(8)) + "".join(str(s.below(10)) for _ in value[keep + 1 :])
-    if kind in ("name_m", "name_f"):
+        return value[:keep] + str(2 + s.below(8) if draw < 4 else s.below(10)) + "".join(str(s.below(10)) for _ in value[keep + 1 :])
+    if kind in ("given_m", "given_f", "surname"):
         script = next((i for i, letters in enumerate(SCRIPTS) if value[0] in letters), 0)
         starts, closes, soft = (x.split() for x in NAME_PARTS[script])
-        words = []
-        for i, _ in enumerate(re.split(r"[ -]", value)):
-            w = "".join(starts[s.below(len(starts))] for _ in range(2 + (draw > 3)))
-            words.append(w + (soft[s.below(len(soft))] if kind == "name_f" and not i else closes[s.below(len(closes))]))
-        return " ".join(words)
+        word = "".join(starts[s.below(len(starts))] for _ in range(2 + draw))
+        return word + (soft[s.below(len(soft))] if kind == "given_f" else closes[s.below(len(closes))])
     hexa = re.fullmatch(r"[a-f0-9]+", value) is not None
-    return "".join(like(c, s, hexa and not c.isdigit()) for c in value)
+    more = "" if kind == "ssn" else "0" * max(0, draw - 2)
+    return "".join(like(c, s, hexa and not c.isdigit()) for c in value + more)
 
 
 def laid_out(kind: str, original: str, new: str) -> str:
@@ -178,9 +241,11 @@ def laid_out(kind: str, original: str, new: str) -> str:
     if kind == "iban":
         it = iter(new)
         return "".join(c if c == " " else next(it) for c in original)
-    if kind.startswith("name"):
-        sep = "-" if "-" in original else " "
-        return sep.join(w.upper() if original.isupper() and len(original) > 1 else w.capitalize() for w in new.split(" "))
+    if kind in ("given_m", "given_f", "surname"):
+        return new.upper() if original.isupper() and len(original) > 1 else new.capitalize()
+    if kind == "ip6":
+        short = str(ipaddress.IPv6Address(new)) if "::" in original else ":".join(g.lstrip("0") or "0" for g in new.split(":"))
+        return short.upper() if original.upper() == original else short
     if kind == "email":
         return new.upper() if original.isupper() else new
     return new
@@ -222,21 +287,22 @@ def draws_of(values: DataFrame, key: bytes) -> DataFrame:
 
 def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """doc_id, text with surrogates, n_entities, entities (start, end in the old text; kind; surrogate not stored)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = {(d, k, v) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for _, _, k, v in entities(t.as_py())}
             cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], ["doc_id", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], ["row", "kind", "value"])
 
-    found = saved(docs.mapInArrow(find, "doc_id long, kind string, value string"), "entities")
+    found = saved(docs.select("row", "text").mapInArrow(find, "row long, kind string, value string"), "entities")
     draws = saved(draws_of(saved(found.select("kind", "value").distinct(), "values"), key), "draws")
-    own = found.join(draws, ["kind", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "draw")).alias("draws"))
+    own = found.join(draws, ["kind", "value"]).groupBy("row").agg(F.collect_set(F.struct("kind", "value", "draw")).alias("draws"))
     own = saved(own, "own-draws")
-    size = own.agg(F.sum(F.size("draws") * 64)).first()[0] or 0
+    size = own.agg(F.sum(F.aggregate("draws", F.lit(0), lambda n, x: n + F.length(x["value"]) + 64))).first()[0] or 0
     if size:
-        docs = docs.join(F.broadcast(own) if size <= BROADCAST_BYTES else own, "doc_id", "left")
+        docs = docs.join(F.broadcast(own) if size <= BROADCAST_BYTES else own, "row", "left")
     else:
         docs = docs.withColumn("draws", F.lit(None).cast("array<struct<kind:string,value:string,draw:int>>"))
 
