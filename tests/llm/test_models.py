@@ -134,13 +134,19 @@ def test_verdicts_of_a_linked_site_equal_the_sql(spark, tmp_path):
 # ---- search
 
 
-@pytest.mark.parametrize("n, held", [(30, 1), (700, 7), (3000, 1 << 14)])
-def test_search_equals_comparison(spark, n, held):
-    """Segments of 8 to 12 bits, results handed on early, crowded codes."""
+def test_cuts_cover_the_code():
+    for n in (0, 1, 500, 10**5, 10**6, 10**12):
+        at = topk.cuts(n)
+        assert [a for a, _ in at] == [sum(w for _, w in at[:i]) for i in range(len(at))] and sum(w for _, w in at) == 64 and all(8 <= w <= 16 for _, w in at)
+
+
+@pytest.mark.parametrize("n, held, at", [(30, 1, None), (700, 7, topk.cuts(1 << 20)), (3000, 1 << 14, None)])
+def test_search_equals_comparison(spark, n, held, at):
+    """Segments of 8 to 11 bits, results handed on early, crowded codes."""
     rng = np.random.default_rng(n)
     codes = (rng.integers(-(1 << 62), 1 << 62, n // 10 + 1)[rng.integers(0, n // 10 + 1, n)] ^ (1 << rng.integers(0, 62, n)) * (rng.random(n) < 0.7)).tolist()
     rows = spark.createDataFrame(list(enumerate(codes)) + [(0, codes[0])], "id long, code long")
-    got = {(r["query_id"], r["rank"]): (r["distance"], r["neighbor_id"]) for r in topk.search(rows, rows.where("id % 50 = 0"), held=held).collect()}
+    got = {(r["query_id"], r["rank"]): (r["distance"], r["neighbor_id"]) for r in topk.search(rows, rows.where("id % 50 = 0"), held=held, at=at).collect()}
     x = np.array(codes)
     for q in range(0, n, 50):
         d = np.bitwise_count((x ^ x[q]).view(np.uint64))

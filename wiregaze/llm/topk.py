@@ -1,8 +1,9 @@
 """Exact top-k by Hamming distance: incremental multi-index hashing (Norouzi et al., 2012).
 
-A code of 64 bits is cut into segments of about log2(codes) bits, 8 to 16; the index holds every distinct code under each
-(segment, value). Round r probes, for each open query, all values at exactly r bits from its own in every segment, and
-verifies the candidates' whole distances: a pair only at its nearest segment, the first of equal ones, so once. After round r all codes within segments * (r + 1) - 1 bits have
+A code of 64 bits is cut into segments of 8 to 16 bits, so wide that a value has some hundred codes; the index holds every
+distinct code under each (segment, value). Round r probes, for each open query, all values at exactly r bits from its own in
+every segment; queries that probe one value meet its codes together, in blocks, and the candidates' whole distances are
+verified: a pair only at its nearest segment, the first of equal ones, so once. After round r all codes within segments * (r + 1) - 1 bits have
 been seen, so a query closes once its kth neighbour is that near; the rest go on. Copies share one index
 entry with their k smallest ids, which is all that a top-k can use; a crowded bucket is split into blocks.
 
@@ -28,6 +29,9 @@ from .common import saved, table
 K = 10
 BITS = 64
 BLOCK = 1024
+#: Codes of a value, by which the segments' width is chosen; queries that meet a block at once, about.
+BUCKET_BITS = 8
+TOGETHER = 512
 #: Queries whose nearest a task keeps before it hands them on.
 HELD = 1 << 14
 EVERY = 50
@@ -41,7 +45,7 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
 
 def cuts(codes: int) -> list[tuple[int, int]]:
     """(first bit, bits) of each segment."""
-    n = -(-BITS // min(16, max(8, round(math.log2(max(2, codes))))))
+    n = -(-BITS // min(16, max(8, round(math.log2(max(2, codes))) - BUCKET_BITS)))
     ends = [BITS * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
@@ -55,15 +59,15 @@ def masks(width: int, r: int) -> list[int]:
     return [sum(1 << i for i in c) for c in combinations(range(width), r)]
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = K, held: int = HELD) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = K, held: int = HELD, at: list[tuple[int, int]] | None = None) -> DataFrame:
     """rows, queries: id, code (long). -> query_id, rank, neighbor_id, distance."""
     codes = rows.select("id", "code").distinct().groupBy("code").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     codes = saved(codes.withColumn("n", F.least("n", F.lit(k)).cast("int")), "codes")
     total = codes.count()
-    at = cuts(total)
+    at = at or cuts(total)
     width = max(w for _, w in at)
     by = codes.select("code", "first", "n", F.explode(segments(F.col("code"), at)).alias("e")).select("e.seg", "e.value", "code", "first", "n")
-    # a row for each of 2^16 values of four segments, or fewer, at most: a bound that no input passes
+    # a row for each of the 2^16 values of four segments at most: a bound that no input passes
     crowded = F.broadcast(saved(by.groupBy("seg", "value").count().where(F.col("count") > BLOCK), "crowded").withColumnRenamed("count", "size"))
     by = by.join(crowded, ["seg", "value"], "left").withColumn("block", F.when(F.col("size").isNull(), 0).otherwise(F.pmod(F.xxhash64("code"), F.ceil(F.col("size") / BLOCK))))
     index = saved(by.groupBy("seg", "value", "block").agg(F.collect_list("code").alias("codes"), F.collect_list("first").alias("firsts"), F.collect_list("n").alias("ns")), "index")
@@ -76,9 +80,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, held: int = HELD) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, set] = {}
+        worst: dict[int, int] = {}  # distance of the kth found
 
         def trim(q: int) -> None:
-            found[q] = set(sorted(found[q])[:k])
+            best = sorted(found[q])[:k]
+            found[q] = set(best)
+            if len(best) == k:
+                worst[q] = best[-1][0]
 
         def out() -> pa.RecordBatch:
             for q in found:
@@ -86,28 +94,35 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, held: int = HELD) ->
             rows_ = [[dict(zip(("d", "first", "code", "n"), x)) for x in sorted(v)] for v in found.values()]
             batch = pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(rows_, kind)], ["q", "best"])
             found.clear()
+            worst.clear()
             return batch
 
         for b in batches:
-            for q, s, c, f, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4)):
-                c = c.values.to_numpy()
-                x = (c ^ q).view(np.uint64)  # of signed values numpy counts the magnitude's bits
-                apart = np.stack([np.bitwise_count((x >> a) & m) for a, m in parts])
-                here = np.nonzero(apart.argmin(axis=0) == s)[0]  # the first of equal ones
-                if not len(here):
-                    continue
-                d, c = apart[:, here].sum(axis=0, dtype=np.int64), c[here]
-                own = found.setdefault(q, set())
-                f, n = f.values.to_numpy()[here], n.values.to_numpy()[here]
-                near = np.lexsort((f, d))[:k] if len(d) > k else range(len(d))
-                own.update((int(d[i]), int(f[i]), int(c[i]), int(n[i])) for i in near)
-                if len(own) > 8 * k:
-                    trim(q)
-            if len(found) >= held:
-                yield out()
+            for qs, s, *cols in zip(b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4)):
+                qs = qs.values.to_numpy()
+                c, f, n = (x.values.to_numpy() for x in cols)
+                for start in range(0, len(qs), TOGETHER):
+                    some = qs[start : start + TOGETHER]
+                    x = (some[:, None] ^ c[None, :]).view(np.uint64)  # of signed values numpy counts the magnitude's bits
+                    apart = np.stack([np.bitwise_count((x >> a) & m) for a, m in parts])
+                    # at the first of the nearest segments; elsewhere further than any code
+                    d = np.where(apart.argmin(axis=0) == s, apart.sum(axis=0, dtype=np.uint8), 255)
+                    for q, own in zip(some.tolist(), d):
+                        near = np.nonzero(own <= worst.get(q, BITS))[0]
+                        if not len(near):
+                            continue
+                        if len(near) > k:
+                            near = near[np.lexsort((f[near], own[near]))[:k]]
+                        held_ = found.setdefault(q, set())
+                        held_.update(zip(own[near].tolist(), f[near].tolist(), c[near].tolist(), n[near].tolist()))
+                        if len(held_) >= 2 * k:
+                            trim(q)
+                if len(found) >= held:
+                    yield out()
         if found:
             yield out()
 
+    salts = max(1, -(-asked.count() // TOGETHER))
     for r in range(width + 1):
         todo = state.where("open")
         if todo.isEmpty():
@@ -115,8 +130,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, held: int = HELD) ->
         probes = todo.select("q", F.explode(segments(F.col("q"), at)).alias("e"))
         # a value with a bit beyond a shorter segment is in no bucket
         probes = probes.select("q", "e.seg", F.explode(F.transform(F.lit(masks(width, r)), lambda m: F.col("e.value").bitwiseXOR(m))).alias("value"))
+        probes = probes.groupBy("seg", "value", F.pmod(F.xxhash64("q"), F.lit(salts)).alias("salt")).agg(F.collect_list("q").alias("qs"))
         # the planner takes the exploded probes for as small as their source and would broadcast them
-        new = probes.join(index.hint("merge"), ["seg", "value"]).select("q", "seg", "codes", "firsts", "ns").mapInArrow(run, f"q long, best {best_type}")
+        new = probes.join(index.hint("merge"), ["seg", "value"]).select("qs", "seg", "codes", "firsts", "ns").mapInArrow(run, f"q long, best {best_type}")
         merged = todo.select("q", "best").union(new).groupBy("q").agg(F.flatten(F.collect_list("best")).alias("best"))
         merged = merged.withColumn("best", F.slice(F.array_sort(F.array_distinct("best")), 1, k))
         bound = len(at) * (r + 1) - 1
