@@ -136,6 +136,12 @@ class LineRuns:
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """The documents with n_lines, n_dropped and kept (the text left), beside their own columns."""
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+    return dedup_rows(docs, min_chars, min_docs, batches, fanout).select(*own, "n_lines", "n_dropped", "kept")
+
+
+def dedup_rows(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """row (a document's columns as one), n_lines, n_dropped, kept."""
     lines = keyed_lines(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
     lines = saved(lines, "lines")
     index = LineRuns(docs.sparkSession, fanout)
@@ -155,9 +161,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     ends = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(n))
     between = F.transform(F.sequence(F.lit(1), F.size("gone") + 1), lambda i: F.slice("lines", F.col("ends")[i - 1] + 2, F.col("ends")[i] - F.col("ends")[i - 1] - 1))
     kept = F.when(F.size("gone") == 0, F.coalesce("row.text", F.lit(""))).otherwise(F.array_join(F.flatten(between), "\n"))
-    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
-    all_ = all_.withColumn("ends", ends).select("row", n.cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), kept.alias("kept"))
-    return all_.select(*own, "n_lines", "n_dropped", "kept")
+    return all_.withColumn("ends", ends).select("row", n.cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

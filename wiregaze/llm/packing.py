@@ -150,6 +150,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
                 ids = [x + end for x in enc.encode([t or "" for t in s.column(2).to_pylist()])]
                 n = [len(x) // enc.kind.itemsize for x in ids]
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n", "ids"])
+        enc.parts.clear()  # the worker lives on, also for other stages
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, source string, n long, ids binary")
 

@@ -28,8 +28,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop repeated lines; documents of which only blanks are left go, others keep their place."""
-    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    found = lines.dedup(packed).where((F.col("n_dropped") == 0) | (F.btrim("kept", F.lit(lines.SPACE)) != ""))
+    found = lines.dedup_rows(docs).where((F.col("n_dropped") == 0) | (F.btrim("kept", F.lit(lines.SPACE)) != ""))
     same = F.col("n_dropped") == 0
     new = {"text": F.when(same, F.col("row.text")).otherwise(F.col("kept"))}
     if "n_chars" in docs.columns:
