@@ -12,12 +12,13 @@ from ..functions.scalars import parent_kind
 def dedup(alerts: DataFrame, seconds: float = 5.0, ts: str = "t", keys: tuple[str, ...] = ("kind", "src", "message"), order: tuple[str, ...] = ()) -> DataFrame:
     """Adds published: a key's alert is held back until ``seconds`` after its last published one. One fold a key.
 
-    ``order`` names the columns of the fold's order where ``ts`` alone has ties.
+    ``order`` names the columns of the fold's order; by default ts, then seq where there is one.
     """
+    order = order or ((ts, "seq") if "seq" in alerts.columns else (ts,))
     schema = f"{', '.join(f'`{n}` {k}' for n, k in alerts.dtypes)}, published boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order) or ts, kind="stable")
+        pdf = pdf.sort_values(list(order), kind="stable")
         last, out = None, []
         for t in pdf[ts]:
             go = last is None or t - last >= seconds
@@ -47,6 +48,26 @@ def stats(alerts: DataFrame, last: int = 100) -> DataFrame:
     return recent.agg(F.count("*").alias("total"), count("DDoS").alias("ddos"), count("SCAN").alias("scan"), count("PAYLOAD").alias("payload"), count("BLACKLIST").alias("blacklist"), F.max("risk_score").alias("max_risk"))
 
 
+def suppressed(odd: DataFrame, *known: DataFrame, by: str) -> DataFrame:
+    """The rows of ``odd`` whose interval none of the ``known`` detections has: those explain what is odd there."""
+    for k in known:
+        odd = odd.join(k.select(by).distinct(), by, "left_anti")
+    return odd
+
+
+def merged(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """All engines' alerts as one table, duplicates kept."""
+    for o in others:
+        first = first.unionByName(o)
+    return first
+
+
+def sensors_online(heartbeats: DataFrame, now: float, seconds: float = 60.0) -> DataFrame:
+    """sensor, t -> one row: the sensors last seen less than ``seconds`` before ``now``."""
+    last = heartbeats.groupBy("sensor").agg(F.max("t").alias("t"))
+    return last.agg(F.count_if(F.lit(now) - F.col("t") < seconds).alias("online_sensors"))
+
+
 def top_techniques(alerts: DataFrame, last: int = 100, n: int = 5) -> DataFrame:
     recent = alerts.orderBy(F.desc("t"), F.desc("seq")).limit(last).where("technique_id <> 'N/A'")
     return recent.groupBy(F.concat_ws(" ", "technique_id", "technique").alias("technique")).agg(F.count("*").alias("alerts")).orderBy(F.desc("alerts"), "technique").limit(n)

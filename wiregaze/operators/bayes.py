@@ -61,7 +61,7 @@ def discover(samples: DataFrame, payload: str = "payload", label: str = "label",
 
 
 def train(samples: DataFrame, words: list[str], payload: str = "payload", label: str = "label", laplace: float = 1.0) -> DataFrame:
-    """ord, word, p_mal, p_safe from document frequencies; one pass over the samples. Words are upper-cased and sorted."""
+    """ord, word, p_mal, p_safe from document frequencies; the samples are read once for the class sizes and once for the counts. Words are upper-cased and sorted."""
     words = sorted({w.upper() for w in words})
     m, u = positive(F.col(label)), F.upper(F.coalesce(F.col(payload), F.lit("")))
     rows = samples.select(m.alias("m"), F.filter(F.lit(words), lambda w: F.contains(u, w)).alias("ws"))
@@ -79,5 +79,19 @@ def prior(samples: DataFrame, label: str = "label") -> DataFrame:
     return samples.agg((F.count_if(positive(F.col(label))) / F.count("*")).alias("prior_malicious"))
 
 
+def from_brain(spark: SparkSession, brain: dict) -> tuple[DataFrame, tuple[float, float]]:
+    """Vocabulary and priors of a stored model. Keys in upper case, malformed pairs and chances of zero left out; the built-in words where none is valid."""
+    rows = []
+    stored = brain.get("likelihoods")
+    for word, pair in (stored.items() if isinstance(stored, dict) else ()):
+        try:
+            rows.append((len(rows), word.upper(), float(pair[0]), float(pair[1])))
+        except (TypeError, ValueError, IndexError, KeyError):
+            continue
+    rows = [r for r in rows if r[2] > 0 and r[3] > 0]
+    priors = tuple(float(brain.get(k, p)) for k, p in zip(("prior_malicious", "prior_safe"), PRIORS))
+    return spark.createDataFrame(rows, "ord int, word string, p_mal double, p_safe double") if rows else vocabulary(spark), priors
+
+
 def to_json(vocab: DataFrame, priors: tuple[float, float]) -> str:
     return json.dumps({"prior_malicious": priors[0], "prior_safe": priors[1], "likelihoods": {w: [a, b] for w, a, b in as_rows(vocab)}})

@@ -63,6 +63,11 @@ def from_hex(digits: str, size: int = SIZE) -> list[int] | None:
     return [i for i in range(min(size, 8 * len(raw))) if raw[i // 8] >> (7 - i % 8) & 1]
 
 
+def unlisted(df: DataFrame, item: str, listed: DataFrame, listed_item: str) -> DataFrame:
+    """Rows whose item is not listed."""
+    return df.join(listed.select(F.col(listed_item).alias(item)).distinct(), item, "left_anti")
+
+
 def exact(df: DataFrame, item: str, listed: DataFrame, listed_item: str) -> DataFrame:
     """Rows whose item is listed. Spark broadcasts the list where it is small."""
     return df.join(listed.select(F.col(listed_item).alias(item)).distinct(), item, "left_semi")

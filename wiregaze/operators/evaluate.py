@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import hash_rank
+
 
 def confusion(df: DataFrame, truth: Column, predicted: Column, by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn, tn; truth and predicted are booleans."""
@@ -29,6 +31,26 @@ def rank(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("f1"), F.desc("recall"))
 
 
+def report(results: DataFrame) -> DataFrame:
+    """engine and its scores -> engine, lines of text; a score no better than guessing the majority is marked."""
+    shown = [("True Positives", "tp"), ("False Positives", "fp"), ("False Negatives", "fn"), ("True Negatives", "tn")]
+    rates = [("Precision", "precision"), ("Recall", "recall"), ("Specificity", "specificity"), ("F1", "f1"), ("Accuracy", "accuracy"), ("Balanced accuracy", "balanced_accuracy"), ("MCC", "mcc"), ("Prevalence", "prevalence"), ("No-skill F1", "no_skill_f1")]
+    lines = [F.concat(F.lit("--- "), "engine", F.lit(" ---"))]
+    lines += [F.format_string(f"{n}: %d", F.col(c).cast("long")) for n, c in shown] + [F.format_string(f"{n}: %.4f", F.col(c).cast("double")) for n, c in rates]
+    poor = F.col("f1") <= F.col("no_skill_f1")
+    lines += [F.when(poor, "F1 does not beat the no-skill baseline")]
+    return results.select("engine", poor.alias("no_better_than_guessing"), F.concat_ws("\n", *lines).alias("report"))
+
+
+def two_sided(rows: DataFrame, order: str, value: str, label: str = "label", window: int = 30, warmup: int = 100, threshold: float = 3.0) -> DataFrame:
+    """Adds z and predicted ("Attack" or "Normal") against a frozen baseline: the last ``window`` of the first ``warmup`` normal rows."""
+    first = rows.where(F.col(label) == "Normal").orderBy(order).limit(warmup)
+    base = first.orderBy(F.desc(order)).limit(window).agg(F.count("*").alias("_n"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    df = rows.crossJoin(F.broadcast(base))  # one row
+    z = F.when((F.col("_n") > 1) & (F.col("_s") > 0), F.abs((F.col(value) - F.col("_m")) / F.col("_s"))).otherwise(0.0)
+    return df.withColumn("z", z).withColumn("predicted", F.when(F.col("z") > threshold, "Attack").otherwise("Normal")).drop("_n", "_m", "_s")
+
+
 def best(results: DataFrame) -> DataFrame:
     return rank(results).limit(1)
 
@@ -48,13 +70,9 @@ def distinct_rows(df: DataFrame, columns: list[str], order: str) -> DataFrame:
 
 
 def split(df: DataFrame, columns: list[str], label: str, seed: str, dataset: str) -> DataFrame:
-    """Adds split: train, validation or test, by hash rank within the label, 70 : 15 : 15.
-
-    The rank needs a label's rows in one order, so one task sorts one label.
-    """
+    """Adds split: train, validation or test, by hash rank within the label, 70 : 15 : 15."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(seed), F.lit(dataset), row_key(columns)), 256)
-    n, i = F.count("*").over(Window.partitionBy(label)), F.row_number().over(Window.partitionBy(label).orderBy("_h")) - 1
-    df = df.withColumn("_h", digest).withColumn("_n", n).withColumn("_i", i)
+    df = hash_rank(df.withColumn("_h", digest), "_h", "_i", (label,), "_n")
     t = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(0.70)))
     v = F.greatest(F.lit(1), F.floor((F.col("_n") - t) / 2))
     t = F.when(F.col("_n") - t - v <= 0, t - 1).otherwise(t)
@@ -76,7 +94,10 @@ def rebalance(series: DataFrame, order: str, benign_ratio: float = 0.95, warmup:
     benign, attack = series.where("label = 'Normal'"), series.where("label <> 'Normal'")
     nb, na = benign.count(), attack.count()
     keep = min(na, max(1, int(nb * (1 - benign_ratio) / benign_ratio))) if na else 0
-    h = F.xxhash64(F.lit(seed), F.col(order))
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(order).cast("string")))
     first = benign.orderBy(order).limit(warmup).select("*", F.lit(0).alias("part"), F.col(order).cast("long").alias("pos"))
-    mix = benign.unionByName(attack.orderBy(h, order).limit(keep)).select("*", F.lit(1).alias("part"), h.alias("pos"))
+    taken = hash_rank(attack.withColumn("_h", h), "_h", "_i").where(F.col("_i") < keep).drop("_h", "_i")
+    # sixteen hex digits of the hash less the sign give the place
+    place = F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
+    mix = benign.unionByName(taken).select("*", F.lit(1).alias("part"), place.alias("pos"))
     return first.unionByName(mix)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def without_own_traffic(packets: DataFrame, ports: tuple[int, ...] = (8080, 9999)) -> DataFrame:
     return packets.where(~F.col("sport").isin(*ports) & ~F.col("dport").isin(*ports))
@@ -17,9 +19,7 @@ def assign_seconds(packets: DataFrame, ts: str = "ts_us", out: str = "second", i
     """
     first = packets.agg(F.min_by(ts, "no").alias("_first")) if "no" in packets.columns else packets.agg(F.min(ts).alias("_first"))
     df = packets.crossJoin(F.broadcast(first)).withColumn(out, F.floor((F.col(ts) - F.col("_first")) / 1_000_000)).drop("_first")
-    if in_order:  # a running maximum needs the one order of the capture
-        df = df.withColumn(out, F.max(out).over(Window.orderBy("no").rowsBetween(Window.unboundedPreceding, 0)))
-    return df
+    return running(df, "no", {out: F.col(out)}, "max") if in_order else df
 
 
 def visible_port():
@@ -69,5 +69,21 @@ def recent(packets: DataFrame, limit: int = 200, proto: str | None = None, query
     return df.orderBy(F.desc("no")).limit(limit)
 
 
+def traffic_snapshot(packets: DataFrame, by: str = "second", window: int = 30, capacity: int = 5000) -> DataFrame:
+    """``store_snapshot`` and the newest interval's pps with the mean and z-score of up to ``window`` intervals before it, two digits each."""
+    recent = per_interval(packets, by).select(by, "pps").orderBy(F.desc(by)).limit(window + 1)
+    newest = F.max_by("pps", by)
+    before = F.array_sort(F.collect_list(F.struct(F.col(by).alias("t"), F.col("pps").cast("double").alias("x"))))
+    one = recent.agg(newest.alias("pps"), before.alias("_all"))
+    h = F.transform(F.slice("_all", 1, F.size("_all") - 1), lambda r: r["x"])
+    one = one.withColumn("_h", F.when(F.size("_all") > 2, h).otherwise(F.array().cast("array<double>")))
+    add = lambda f: F.aggregate("_h", F.lit(0.0), lambda a, x: a + f(x)) / F.greatest(F.size("_h"), F.lit(1))
+    one = one.withColumn("_m", add(lambda x: x))
+    one = one.withColumn("_s", F.sqrt(add(lambda x: (x - F.col("_m")) * (x - F.col("_m")))))
+    z = F.when(F.col("_s") > 0, (F.col("pps") - F.col("_m")) / F.col("_s")).otherwise(0.0)
+    # one row each
+    return store_snapshot(packets, capacity).crossJoin(F.broadcast(one.select("pps", F.round("_m", 2).alias("mean"), F.round(z, 2).alias("z_score"))))
+
+
 def store_snapshot(packets: DataFrame, capacity: int = 5000) -> DataFrame:
     return packets.agg(F.count("*").alias("total"), F.least(F.count("*"), F.lit(capacity)).alias("buffered"), F.lit(capacity).alias("capacity"), *[F.count_if(F.col("proto") == p).alias(p.lower()) for p in ("TCP", "UDP", "ICMP", "OTHER")])

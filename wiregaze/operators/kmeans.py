@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import CENTROIDS
+from .ordered import rank
 
 WARM = 8
 RADIUS = 3.0
@@ -91,12 +92,15 @@ def assign(points: DataFrame, centroids, pps: str = "pps", ports: str = "unique_
 
 def train(points: DataFrame, order: str, k: int = 3, rounds: int = 25, tolerance: float = 1e-3, pps: str = "pps", ports: str = "unique_ports") -> dict:
     """Lloyd's rounds as one aggregation each; only k rows reach the driver. Starts from rows 0, step, 2 step."""
-    points = points.select(F.col(order).alias("_o"), F.col(pps).cast("double").alias("pps"), F.col(ports).cast("double").alias("unique_ports")).cache()
+    points = points.select(F.col(order).alias("_o"), F.col(pps).cast("double").alias("pps"), F.col(ports).cast("double").alias("unique_ports"))
+    # written once where there is a shared folder, so that a lost executor costs no round anew
+    shared = points.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    points = points.checkpoint() if shared else points.persist()
     n = points.count()
     if n < k:
         raise ValueError(f"{n} points for {k} clusters")
     step = max(1, n // k)
-    firsts = points.withColumn("_i", F.row_number().over(Window.orderBy("_o")) - 1).where(F.col("_i").isin([i * step for i in range(k)])).orderBy("_i").collect()
+    firsts = rank(points, "_o", "_i").where(F.col("_i").isin([i * step for i in range(k)])).orderBy("_i").collect()
     centroids = [(r["pps"], r["unique_ports"]) for r in firsts]
     used = 0
     for used in range(1, rounds + 1):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import KNN_SEED
 from ..functions.scalars import plausible_scan
+from .ordered import rank
 
 MAX_TRAINING = 5000
 
@@ -31,12 +32,18 @@ def thin(rows: DataFrame, most: int = MAX_TRAINING) -> DataFrame:
         return rows
     classes = rows.select("label").distinct().count()
     per = max(1, most // classes)
-    by = Window.partitionBy("label").orderBy("row_no")
-    df = rows.withColumn("_i", F.row_number().over(by) - 1).withColumn("_all", F.count("*").over(Window.partitionBy("label")))
+    df = rank(rows, "row_no", "_i", ("label",), total="_all")
     step = F.greatest(F.lit(1), F.floor(F.col("_all") / per))
     return df.where((F.col("_i") % step == 0) & (F.col("_i") / step < per)).drop("_i", "_all")
 
 
+def from_brain(spark: SparkSession, brain: dict) -> DataFrame:
+    """Training rows of a stored model, sanitised again; the built-in ones where none of them is valid."""
+    stored = [(i, *(None if v is None else str(v) for v in (*r, None, None, None)[:3])) for i, r in enumerate(brain.get("training_data") or [])]
+    rows = sanitise(spark.createDataFrame(stored, "row_no long, unique_ports string, packet_count string, label string")) if stored else None
+    return seed(spark) if rows is None or rows.isEmpty() else rows.drop("corrected")
+
+
 def ratio(ports: Column, packets: Column) -> Column:
     return F.when(packets > 0, ports / packets).otherwise(0.0)
 
@@ -47,7 +54,8 @@ def ranges(train: DataFrame) -> DataFrame:
 
 
 def model(train: DataFrame) -> DataFrame:
-    """One row: ranges and the training rows scaled by them, as arrays. ``thin`` bounds its size to MAX_TRAINING rows."""
+    """One row: ranges and the training rows scaled by them, as arrays. More than MAX_TRAINING rows are thinned: its size is bounded."""
+    train = thin(train)
     r = F.broadcast(ranges(train))
     f = train.crossJoin(r)
     scaled = [scale(c, n) for c, n in ((F.col("unique_ports").cast("double"), "ports"), (F.col("packet_count").cast("double"), "packets"), (ratio(F.col("unique_ports"), F.col("packet_count")), "ratio"))]
@@ -62,7 +70,8 @@ def scale(x: Column, name: str) -> Column:
 
 def classify(points: DataFrame, train: DataFrame, k: int = 3, ports: str = "unique_ports", packets: str = "packets") -> DataFrame:
     """Adds label and confidence. The training rows ride along as one broadcast row; no pairs are shuffled."""
-    df = points.crossJoin(F.broadcast(model(train)))
+    known = model(train)
+    df = points.crossJoin(F.broadcast(known))
     p, n = F.col(ports).cast("double"), F.col(packets).cast("double")
     q = [scale(p, "ports"), scale(n, "packets"), scale(ratio(p, n), "ratio")]
     df = df.withColumns({f"_q{i}": c for i, c in enumerate(q)}).withColumn("_ok", plausible_scan(p, n))
@@ -73,5 +82,5 @@ def classify(points: DataFrame, train: DataFrame, k: int = 3, ports: str = "uniq
     scan = F.coalesce(weight(F.lit(True)) > weight(F.lit(False)), F.lit(False))
     df = df.withColumn("_scan", scan)
     share = F.size(F.filter("_near", lambda r: r["scan"] == F.col("_scan"))) / F.size("_near")
-    drop = [*model(train).columns, "_q0", "_q1", "_q2", "_ok", "_near", "_scan"]
+    drop = [*known.columns, "_q0", "_q1", "_q2", "_ok", "_near", "_scan"]
     return df.withColumn("label", F.when(F.col("_scan"), "Scan").otherwise("Normal")).withColumn("confidence", F.when(F.col("_ok"), share).otherwise(0.0)).drop(*drop)

@@ -11,18 +11,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import rank, running, with_context
+
 WARM = 5
 
 
 def naive(df: DataFrame, order: str, value: str, by: list[str] | None = None, window: int = 30, threshold: float = 3.0, min_pps: float = 500.0, persist: int = 3) -> DataFrame:
     """Each row against up to ``window`` rows before it, all admitted. Adds mean, std, z, candidate, streak, is_threat, new_threat."""
-    w = Window.partitionBy(*by or []).orderBy(order)
+    block = own = None
+    if not by:  # one series: blocks, each led by the rows its first windows need
+        df, block, own = with_context(rank(df, order, "_place"), "_place", window)
+    w = Window.partitionBy(*by or [block]).orderBy(order)
     frame = w.rowsBetween(-window, -1)
     n = F.count(value).over(frame)
     df = df.withColumn("_n", n).withColumn("mean", F.when(F.col("_n") < 2, 0.0).otherwise(F.avg(value).over(frame))).withColumn("std", F.when(F.col("_n") < 2, 0.0).otherwise(F.stddev_pop(value).over(frame)))
     z = F.when(F.col("std") > 0, (F.col(value) - F.col("mean")) / F.col("std")).otherwise(0.0)
     df = df.withColumn("z", z)
     df = df.withColumn("candidate", (F.col("_n") >= WARM) & (F.col("std") > 0) & (F.col("z") > threshold) & (F.col(value) >= min_pps))
+    if own:
+        df = running(df.where(own).drop(block, own), "_place", {"_last": F.when(~F.col("candidate"), F.col("_place"))}, "max")
+        df = df.withColumn("streak", F.when(F.col("candidate"), F.col("_place") - F.coalesce("_last", F.lit(-1))).otherwise(0))
+        return df.withColumn("is_threat", F.col("candidate") & (F.col("streak") >= persist)).withColumn("new_threat", F.col("candidate") & (F.col("streak") == persist)).drop("_n", "_place", "_last")
     # rows since the last one that is no candidate
     group = F.sum((~F.col("candidate")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumn("_g", group)
@@ -46,6 +55,11 @@ class Guarded:
         mean = math.fsum(self.history) / n
         return mean, math.sqrt(math.fsum((x - mean) ** 2 for x in self.history) / n)
 
+    def z_of(self, x: float) -> float:
+        """z of a value against the present baseline, which it does not change."""
+        mean, std = self.baseline()
+        return (x - mean) / std if std > 0 else 0.0
+
     def step(self, x: float, update: bool = True) -> tuple:
         """mean, std, z, stat anomaly, candidate, streak, is_threat, new_threat, confidence, baseline size after."""
         mean, std = self.baseline()
@@ -100,6 +114,11 @@ def guarded(df: DataFrame, order: str, value: str, by: str, state: dict | None =
     return df.select(by, order, F.col(value).cast("double").alias(value)).groupBy(by).applyInPandas(run, schema)
 
 
+def detail(verdicts: DataFrame, value: str) -> DataFrame:
+    """The verdict's figures as published: z and deviation to four digits, the mean to two."""
+    return verdicts.withColumn("detail", F.struct(F.round("z", 4).alias("z_score"), F.round("mean", 2).alias("mean"), F.round("std", 4).alias("std_dev"), F.col(value).alias("pps"), "baseline_samples", F.col("stat_anomaly").alias("statistical_anomaly"), F.col("candidate").alias("volume_candidate"), F.col("streak").alias("anomaly_streak"), "new_threat"))
+
+
 def guarded_sql_fold(df: DataFrame, order: str, value: str, by: str, window: int = 30, threshold: float = 3.0, min_pps: float = 500.0) -> DataFrame:
     """The same flags by a JVM fold, for series of at most a few thousand rows: quadratic in the series' length."""
     series = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(value).cast("double").alias("x")))).alias("_series"))
@@ -117,8 +136,13 @@ def guarded_sql_fold(df: DataFrame, order: str, value: str, by: str, window: int
 
 def session_stats(df: DataFrame, order: str, value: str) -> DataFrame:
     """Mean and deviation of all rows up to and with this one."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("session_mean", F.avg(value).over(w)).withColumn("session_std", F.stddev_pop(value).over(w))
+    # sums about the mean of all rows, one broadcast row, so that squares stay small
+    df = df.crossJoin(F.broadcast(df.agg(F.avg(value).alias("_c"))))
+    d = F.col(value).cast("double") - F.col("_c")
+    df = running(df, order, {"_n": F.lit(1), "_x": F.col(value).cast("double"), "_d": d, "_dd": d * d})
+    mean = F.col("_d") / F.col("_n")
+    df = df.withColumn("session_mean", F.col("_x") / F.col("_n")).withColumn("session_std", F.sqrt(F.greatest(F.lit(0.0), F.col("_dd") / F.col("_n") - mean * mean)))
+    return df.drop("_c", "_n", "_x", "_d", "_dd")
 
 
 def train(df: DataFrame, order: str, value: str, label: str, window: int = 30) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import LIKELIHOODS, PRIORS
-from ..operators import bayes, bloom, evaluate, kmeans, knn, zscore
+from ..operators import bayes, bloom, evaluate, kmeans, knn, ordered, zscore
 
 
 def evaluate_knn(rows: DataFrame, train: DataFrame | None = None, k: int = 3) -> DataFrame:
@@ -35,9 +35,9 @@ def evaluate_kmeans(rows: DataFrame, brain: dict | None = None) -> DataFrame:
 
 def evaluate_bloom(rows: DataFrame, share: float = 0.5, size: int = bloom.SIZE, hashes: int = bloom.HASHES) -> dict:
     """The first ``share`` of the malicious rows is loaded; the others are only counted as held-out hits."""
-    bad = rows.where(~bloom.safe_label(F.col("label"))).orderBy("row_no")
+    bad = ordered.rank(rows.where(~bloom.safe_label(F.col("label"))), "row_no", "_place")
     n = bad.count()
-    loaded = bad.limit(max(1, int(n * share)))
+    loaded = bad.where(F.col("_place") < max(1, int(n * share)))
     f = bloom.build(loaded, "ip", size, hashes)
     bits = bloom.bits_of(f)
     held = bad.join(loaded.select("row_no"), "row_no", "left_anti")

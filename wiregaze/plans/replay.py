@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import constants as C
 from ..functions.frames import build_tcp, decode
 from ..functions.scalars import enrich
+from ..operators import alerts as A
 from ..operators import bayes, bloom, intervals, kmeans, knn, zscore
+from ..operators.ordered import rank
 
 
 def scenario(spark: SparkSession, start_us: int = 1_700_000_000_000_000, listed: str = "10.0.0.66") -> DataFrame:
@@ -74,13 +76,13 @@ def interval_alerts(v: dict[str, DataFrame]) -> DataFrame:
     t = F.col("second").cast("double")
     ddos = z.where("new_threat").join(top, "second").select(t.alias("t"), "second", F.lit(0).cast("long").alias("seq_no"), F.lit("zscore").alias("engine"), F.col("top_src").alias("src"), F.format_string("DDoS DETECTED! Z-Score: %.2f (PPS: %d)", "z", F.col("pps").cast("long")).alias("message"), "confidence")
     # the order of non-empty seconds; one row a second
-    order = z.select("second", F.row_number().over(Window.orderBy("second")).alias("k"))
+    order = rank(z.select("second"), "second", "k")
     scans = s.where("label = 'Scan'").join(order, "second")
     before = scans.select("src", (F.col("k") + 1).alias("k"))
     scan = scans.join(before, ["src", "k"], "left_anti").select(t.alias("t"), "second", F.col("first_seq").alias("seq_no"), F.lit("knn").alias("engine"), "src", F.format_string("PORT SCAN DETECTED! (Unique Ports: %d/sec)", "unique_ports").alias("message"), "confidence")
-    odd = n.where("is_threat").join(scans.select("second"), "second", "left_anti").join(z.where("is_threat").select("second"), "second", "left_anti").join(top, "second")
+    odd = A.suppressed(n.where("is_threat"), scans, z.where("is_threat"), by="second").join(top, "second")
     odd = odd.select(t.alias("t"), "second", F.lit(0).cast("long").alias("seq_no"), F.lit("kmeans").alias("engine"), F.col("top_src").alias("src"), F.format_string("ANOMALY DETECTED (Cluster %d)! Suspicious activity.", "cluster").alias("message"), "confidence")
-    return ddos.unionByName(scan).unionByName(odd)
+    return A.merged(ddos, scan, odd)
 
 
 def replay(frames: DataFrame, config: Config = Config(), listed: tuple[str, ...] = C.REPLAY_BLACKLIST) -> DataFrame:
