@@ -93,10 +93,9 @@ def tcp_flags(spark, sf):
     return adapters.events(spark, sf).select("event_id", S.tcp_flags((F.col("event_id") % 64).cast("int")).alias("flags"))
 
 
-@query("F7_own_traffic", f"WITH {PACKETS_SQL} SELECT count(*) AS n FROM pk WHERE sport NOT IN (1124, 9999) AND dport NOT IN (42, 9999)")
+@query("F7_own_traffic", f"WITH {PACKETS_SQL} SELECT count(*) AS n FROM pk WHERE sport NOT IN (1124, 42, 9999) AND dport NOT IN (1124, 42, 9999)")
 def own_traffic(spark, sf):
-    p = adapters.packets(spark, sf)
-    return p.where(~F.col("sport").isin(1124, 9999) & ~F.col("dport").isin(42, 9999)).agg(F.count("*").alias("n"))
+    return intervals.without_own_traffic(adapters.packets(spark, sf), (1124, 42, 9999)).agg(F.count("*").alias("n"))
 
 
 @query("F11_packet_list", f"WITH {PACKETS_SQL} SELECT no, src, proto FROM pk WHERE no > 100 AND proto = 'TCP' AND contains(lower(src), '10.0.0.1') ORDER BY no DESC LIMIT 200")
@@ -135,6 +134,18 @@ def snapshot(spark, sf):
     return intervals.store_snapshot(adapters.packets(spark, sf))
 
 
+@query("A9_traffic_snapshot", f"WITH {HOURLY_SQL}, l AS (SELECT * FROM hr ORDER BY hour DESC LIMIT 31), n AS (SELECT arg_max(pps, hour) AS pps, max(hour) AS top FROM l), b AS (SELECT avg(pps) AS m, stddev_pop(pps) AS s FROM l, n WHERE hour < top) SELECT (SELECT count(*) FROM pk) AS total, pps, round(m, 2) AS mean, round((pps - m) / s, 2) AS z_score FROM n, b".replace("SELECT arg_max(pps, hour)", "SELECT arg_max(l.pps, l.hour)").replace("avg(pps) AS m, stddev_pop(pps) AS s FROM l, n", "avg(l.pps) AS m, stddev_pop(l.pps) AS s FROM l, n"))
+def traffic(spark, sf):
+    return intervals.traffic_snapshot(adapters.packets(spark, sf), "hour").select("total", "pps", "mean", "z_score")
+
+
+@query("A8_sensors_online", f"WITH {PACKETS_SQL}, s AS (SELECT src, max(t) AS t FROM pk GROUP BY src) SELECT count(*) FILTER ((SELECT max(t) FROM pk) - t < 86400) AS online_sensors FROM s")
+def sensors(spark, sf):
+    p = adapters.packets(spark, sf)
+    now = p.agg(F.max("t")).first()[0]
+    return A.sensors_online(p.select(F.col("src").alias("sensor"), "t"), float(now or 0), 86400)
+
+
 @query("M3_fill_gaps", f"WITH {HOURLY_SQL} SELECT h AS hour, coalesce(pps, 0) AS pps, coalesce(unique_ports, 0) AS unique_ports FROM (SELECT unnest(range(min(hour), max(hour) + 1)) AS h FROM hr) g LEFT JOIN hr ON hr.hour = g.h")
 def gaps(spark, sf):
     return intervals.fill_gaps(hourly(spark, sf), "hour")
@@ -178,10 +189,30 @@ def z_guarded(spark, sf):
     return zscore.guarded(h, "hour", "pps", "series", threshold=1.5, min_pps=0.0).select("hour", "pps", F.round("z", 6).alias("z"), "candidate")
 
 
-@query("W2_zscore_per_source")
+GUARD_SOURCES_SQL = f"""WITH RECURSIVE {SOURCE_SQL}, o AS (SELECT src, row_number() OVER (PARTITION BY src ORDER BY hour) AS k, hour, packets::DOUBLE AS x FROM sr),
+f(src, k, hour, x, h, z, candidate) AS (
+  SELECT DISTINCT src, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, []::DOUBLE[], 0::DOUBLE, false FROM o
+  UNION ALL
+  SELECT src, k, hour, x, CASE WHEN c THEN h ELSE list_append(h, x)[-30:] END, z, c FROM (
+    SELECT *, len(h) >= 5 AND s > 0 AND z > 2.0 AS c FROM (
+      SELECT *, CASE WHEN s > 0 THEN (x - m) / s ELSE 0 END AS z FROM (
+        SELECT o.src, o.k, o.hour, o.x, f.h, CASE WHEN len(f.h) < 2 THEN 0 ELSE list_avg(f.h) END AS m, CASE WHEN len(f.h) < 2 THEN 0 ELSE list_stddev_pop(f.h) END AS s
+        FROM f JOIN o ON o.src = f.src AND o.k = f.k + 1))))
+SELECT src, hour, x AS packets, round(z, 6) AS z, candidate FROM f WHERE k > 0"""
+
+
+@query("W2_zscore_per_source", GUARD_SOURCES_SQL)
 def z_sources(spark, sf):
     """One series a source: the fold runs in as many tasks as there are sources."""
-    return zscore.guarded(sources(spark, sf).select("src", F.col("hour").cast("long").alias("hour"), "packets"), "hour", "packets", "src", threshold=2.0, min_pps=0.0)
+    got = zscore.guarded(sources(spark, sf).select("src", F.col("hour").cast("long").alias("hour"), "packets"), "hour", "packets", "src", threshold=2.0, min_pps=0.0)
+    return got.select("src", "hour", "packets", F.round("z", 6).alias("z"), "candidate")
+
+
+@query("W5_verdict_detail", Z_SQL.split("\nSELECT hour, pps, round(mean")[0] + " SELECT hour, round(z, 4) AS z_score, round(mean, 2) AS mean, round(std, 4) AS std_dev FROM h")
+def z_detail(spark, sf):
+    z = zscore.naive(hourly(spark, sf).select("hour", "pps"), "hour", "pps", threshold=1.5, min_pps=0.0, persist=2)
+    z = zscore.detail(z.withColumns({"baseline_samples": F.lit(0), "stat_anomaly": F.col("candidate")}), "pps")
+    return z.select("hour", "detail.z_score", "detail.mean", "detail.std_dev")
 
 
 @query("W4_z_confidence", Z_SQL.replace("SELECT hour, pps, round(mean", "SELECT hour, CASE WHEN candidate THEN round(least(1, abs(z) / 3), 6) ELSE 0 END AS confidence -- ").split(" -- ")[0] + " FROM h")
@@ -288,10 +319,16 @@ def novelty(spark, sf):
     return kmeans.novelty(h, "hour", "series").select("hour", "cluster", F.round("distance", 6).alias("distance"), "is_threat")
 
 
-@query("W12_novelty_frozen")
+FROZEN = {"centroids": [[10, 4], [18, 6], [25, 9]], "dist_count": 50, "dist_mean": 2.0, "dist_m2": 12.5}
+FROZEN_SQL = f"""WITH {HOURLY_SQL}, d AS (SELECT hour, [sqrt(pow(pps - 10, 2) + pow(unique_ports - 4, 2)), sqrt(pow(pps - 18, 2) + pow(unique_ports - 6, 2)), sqrt(pow(pps - 25, 2) + pow(unique_ports - 9, 2))] AS ds FROM hr)
+SELECT hour, list_position(ds, list_min(ds))::BIGINT - 1 AS cluster, round(list_min(ds), 6) AS distance, list_min(ds) > 2 + 3 * sqrt(12.5 / 50) AS is_threat FROM d"""
+
+
+@query("W12_novelty_frozen", FROZEN_SQL)
 def novelty_frozen(spark, sf):
+    """Against a stored model that learns nothing more."""
     h = hourly(spark, sf).select(F.lit(0).alias("series"), F.col("hour").cast("long").alias("hour"), "pps", "unique_ports")
-    return kmeans.novelty(h, "hour", "series", update=False)
+    return kmeans.novelty(h, "hour", "series", start=FROZEN, update=False).select("hour", "cluster", F.round("distance", 6).alias("distance"), "is_threat")
 
 
 @query("A18_kmeans_train")
@@ -384,7 +421,7 @@ def exact_semi(spark, sf):
 
 @query("J2_U4_anti_join", f"WITH {IPS_SQL} SELECT ip FROM ip WHERE NOT bad")
 def anti(spark, sf):
-    return ips(spark, sf).join(bad_ips(spark, sf), "ip", "left_anti")
+    return bloom.unlisted(ips(spark, sf), "ip", bad_ips(spark, sf), "ip")
 
 
 # ---- alerts --------------------------------------------------------------------------------------
@@ -425,21 +462,15 @@ def blocked(spark, sf):
     return A.block_decisions(kinds(spark, sf), whitelist=("10.0.0.1",)).select("src", "kind", "seq")
 
 
-DEDUP_SQL = f"""WITH RECURSIVE {KINDS_SQL}, o AS (SELECT seq, t, kind, src, message, row_number() OVER (PARTITION BY kind, src, message ORDER BY t, seq) AS k FROM en WHERE src < '10.0.0.2'),
-f AS (SELECT seq, t, kind, src, message, k, t AS last, true AS published FROM o WHERE k = 1
-  UNION ALL SELECT o.seq, o.t, o.kind, o.src, o.message, o.k, CASE WHEN o.t - f.last >= 86400 THEN o.t ELSE f.last END, o.t - f.last >= 86400 FROM f JOIN o ON o.kind = f.kind AND o.src = f.src AND o.message = f.message AND o.k = f.k + 1)
+# a fold over each key's times in order: the list of published rows
+DEDUP_SQL = f"""WITH {KINDS_SQL}, ks AS (SELECT kind, src, message, list_reduce(list([struct_pack(t := t, seq := seq)] ORDER BY t, seq), lambda a, b: CASE WHEN b[1].t - a[-1].t >= 86400 THEN list_concat(a, b) ELSE a END) AS kept FROM en GROUP BY ALL),
+f AS (SELECT en.seq, en.kind, en.src, en.message, en.t, list_contains(list_transform(kept, lambda x: x.seq), en.seq) AS published FROM en JOIN ks ON ks.kind = en.kind AND ks.src = en.src AND ks.message = en.message)
 SELECT seq, published FROM f"""
 
 
 @query("W14_dedup", DEDUP_SQL)
 def dedup(spark, sf):
-    return A.dedup(kinds(spark, sf).where("src < '10.0.0.2'").select("seq", "t", "kind", "src", "message"), 86400).select("seq", "published")
-
-
-# the SQL above recurses and is bounded to some sources; this one is over all alerts, and tests compare it with a fold
-@query("W14_dedup_all")
-def dedup_all(spark, sf):
-    return A.dedup(kinds(spark, sf).select("seq", "t", "kind", "src", "message"), 86400, order=("t", "seq")).select("seq", "published")
+    return A.dedup(kinds(spark, sf).select("seq", "t", "kind", "src", "message"), 86400).select("seq", "published")
 
 
 @query("F17_W13_rising_edge", f"WITH {SOURCE_SQL}, fl AS (SELECT *, packets >= 2 AS hot, lag(packets >= 2, 1, false) OVER (PARTITION BY src ORDER BY hour) AS was FROM sr) SELECT hour, src, packets FROM fl WHERE hot AND NOT was")
@@ -450,7 +481,7 @@ def rising(spark, sf):
 @query("F16_J7_suppression", f"WITH {SOURCE_SQL}, hh AS (SELECT hour, count(*) AS pps FROM pk GROUP BY hour) SELECT hour FROM hh WHERE pps >= 12 AND hour NOT IN (SELECT hour FROM sr WHERE packets >= 3) AND pps < 20")
 def suppression(spark, sf):
     h, s = hourly(spark, sf), sources(spark, sf).where("packets >= 3").select("hour")
-    return h.where("pps >= 12").join(s, "hour", "left_anti").join(h.where("pps >= 20").select("hour"), "hour", "left_anti").select("hour")
+    return A.suppressed(h.where("pps >= 12"), s, h.where("pps >= 20"), by="hour").select("hour")
 
 
 @query("L20_severity", f"WITH {ALERTS_SQL} SELECT seq, CASE WHEN contains(message, 'DDoS') THEN 'CRITICAL' WHEN contains(message, 'PAYLOAD') THEN 'HIGH' WHEN contains(message, 'SCAN') THEN 'MEDIUM' ELSE 'INFO' END AS severity FROM al")
@@ -463,7 +494,11 @@ def report_kinds(spark, sf):
     return adapters.alerts(spark, sf).groupBy(S.report_kind(F.col("message")).alias("kind")).agg(F.count("*").alias("alerts"))
 
 
-@query("S17_audit_rows")
+AUDIT_SQL = f"""WITH {KINDS_SQL} SELECT '2024-01-01 00:00:00' AS "Timestamp", src AS "Source IP", 'replay' AS "Engine", kind AS "Verdict", severity AS "Severity", risk_score AS "Risk Score",
+coalesce(printf('%.4f', confidence), '') AS "Confidence", technique_id AS "ATT&CK Technique", tactic AS "ATT&CK Tactic", '' AS "Payload Excerpt", message AS "Message" FROM en"""
+
+
+@query("S17_audit_rows", AUDIT_SQL)
 def audit(spark, sf):
     from ..sources.sinks import audit_rows
 
@@ -506,7 +541,11 @@ def truncate_hex(spark, sf):
     return read(spark, sf, "pages").select("page_id", S.truncate_hex(F.hex(F.encode("html", "UTF-8")), 32).alias("head"))
 
 
-@query("L18_hexdump")
+HEXDUMP_SQL = """SELECT page_id, array_to_string(list_transform(range(0, length(url), 16), lambda p: printf('%04x', p) || '  ' ||
+  rpad(array_to_string(list_transform(range(p + 1, least(p + 16, length(url)) + 1), lambda i: printf('%02x', ascii(url[i]))), ' '), 47, ' ') || '  ' || url[p + 1:p + 16]), chr(10)) AS dump FROM pages"""
+
+
+@query("L18_hexdump", HEXDUMP_SQL)
 def hexdump(spark, sf):
     return read(spark, sf, "pages").select("page_id", S.hexdump(F.encode("url", "UTF-8")).alias("dump"))
 
@@ -578,28 +617,48 @@ def split(spark, sf):
     return evaluate.split(read(spark, sf, "documents").select("doc_id", "lang"), ["doc_id"], "lang", "seed", "documents").select("doc_id", "split")
 
 
-@query("J8_U3_split_overlap", "SELECT '' AS key, 0::BIGINT AS splits WHERE false")
+@query("J8_U3_split_overlap", f"WITH {SPLIT_SQL}, sp AS (SELECT doc_id, CASE WHEN i < t THEN 'train' WHEN i < t + v THEN 'validation' ELSE 'test' END AS split FROM v) SELECT md5(trim(coalesce(text, ''))) AS key, count(DISTINCT split) AS splits FROM sp JOIN documents USING (doc_id) GROUP BY trim(coalesce(text, '')) HAVING count(DISTINCT split) > 1")
 def overlap(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", "lang")
-    return evaluate.overlap(evaluate.split(d, ["doc_id"], "lang", "seed", "documents"), ["doc_id"])
+    """Texts that a split by doc_id puts on several sides."""
+    d = evaluate.split(read(spark, sf, "documents").select("doc_id", "lang", "text"), ["doc_id"], "lang", "seed", "documents")
+    return evaluate.overlap(d, ["text"]).select(F.md5(F.encode("key", "UTF-8")).alias("key"), "splits")
 
 
 @query("U1_union_alerts", f"WITH {KINDS_SQL} SELECT seq, kind FROM en WHERE kind = 'ddos' UNION ALL SELECT seq, kind FROM en WHERE kind = 'scan'")
 def union(spark, sf):
     k = kinds(spark, sf).select("seq", "kind")
-    return k.where("kind = 'ddos'").unionByName(k.where("kind = 'scan'"))
+    return A.merged(k.where("kind = 'ddos'"), k.where("kind = 'scan'"))
 
 
-@query("U5_rebalance")
+REBALANCE_SQL = f"""WITH {HOURLY_SQL}, l AS (SELECT *, CASE WHEN pps < 18 THEN 'Normal' ELSE 'DDoS' END AS label, md5('1|' || hour) AS m FROM hr),
+n AS (SELECT count(*) FILTER (label = 'Normal') AS nb, count(*) FILTER (label <> 'Normal') AS na FROM l),
+a AS (SELECT l.*, row_number() OVER (ORDER BY m) AS k, least(na, greatest(1, floor(nb * (1 - 0.95::DOUBLE) / 0.95::DOUBLE)::BIGINT)) AS keep FROM l, n WHERE label <> 'Normal')
+SELECT * FROM (SELECT hour, pps, unique_ports, label, 0 AS part FROM l WHERE label = 'Normal' ORDER BY hour LIMIT 30)
+UNION ALL SELECT hour, pps, unique_ports, label, 1 FROM l WHERE label = 'Normal' UNION ALL SELECT hour, pps, unique_ports, label, 1 FROM a WHERE k <= keep"""
+
+
+@query("U5_rebalance", REBALANCE_SQL)
 def rebalance(spark, sf):
     h = hourly(spark, sf).withColumn("label", F.when(F.col("pps") < 18, "Normal").otherwise("DDoS"))
-    return evaluate.rebalance(h, "hour")
+    return evaluate.rebalance(h, "hour").drop("pos")
+
+
+@query("A24_two_sided", f"WITH {HOURLY_SQL}, l AS (SELECT *, CASE WHEN pps < 18 THEN 'Normal' ELSE 'DDoS' END AS label FROM hr), b AS (SELECT avg(pps) AS m, stddev_pop(pps) AS s FROM (SELECT * FROM (SELECT * FROM l WHERE label = 'Normal' ORDER BY hour LIMIT 100) ORDER BY hour DESC LIMIT 30)) SELECT hour, round(abs((pps - m) / s), 6) AS z, CASE WHEN abs((pps - m) / s) > 3 THEN 'Attack' ELSE 'Normal' END AS predicted FROM l, b")
+def two_sided(spark, sf):
+    h = hourly(spark, sf).withColumn("label", F.when(F.col("pps") < 18, "Normal").otherwise("DDoS"))
+    return evaluate.two_sided(h, "hour", "pps").select("hour", F.round("z", 6).alias("z"), "predicted")
 
 
-@query("S24_sample_flows")
+@query("A26_report", f"WITH {CM_SQL}, r AS (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r, (tp + fn) / (tp + fp + fn + tn) AS v FROM cm) SELECT 'labels' AS engine, round(2 * p * r / (p + r), 4) <= round(2 * v / (v + 1), 4) AS no_better_than_guessing, tp AS true_positives FROM r")
+def report(spark, sf):
+    got = evaluate.report(evaluate.scores(matrix(spark, sf)).withColumn("engine", F.lit("labels")))
+    return got.select("engine", "no_better_than_guessing", F.regexp_extract("report", r"True Positives: (\d+)", 1).cast("long").alias("true_positives"))
+
+
+@query("S24_sample_flows", "WITH f AS (SELECT event_type AS file, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events)), r AS (SELECT event_id, event_type AS file, row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_id)) AS n FROM events) SELECT event_id, file FROM r JOIN f USING (file) WHERE n <= 1000 // 5 + (k <= 1000 % 5)::INT")
 def sample_flows(spark, sf):
     e = adapters.events(spark, sf).select("event_id", F.col("event_type").alias("file"))
-    return tabular.sample_flows(e, "file", F.xxhash64(F.lit(42), "event_id"), 1000, 5)
+    return tabular.sample_flows(e, "file", F.md5(F.concat_ws("|", F.lit("42"), F.col("event_id").cast("string"))), 1000, 5)
 
 
 @query("S10_flow_rows", "WITH r AS (SELECT event_id % 40 AS p, (event_id * 3) % 90 AS n, event_id % 5 = 0 AS scan FROM events) SELECT p AS unique_ports, n AS packet_count, CASE WHEN scan THEN 'Scan' ELSE 'Normal' END AS label, count(*) AS rows FROM r WHERE p <= n GROUP BY ALL")
@@ -685,20 +744,29 @@ def replay_alerts(spark, sf):
     return replay(scenario(spark))
 
 
-@query("A10_engine_hits", "SELECT * FROM (VALUES ('zscore', 1::BIGINT), ('knn', 1), ('naive_bayes', 4), ('kmeans', 4), ('bloom', 5)) t(engine, alerts)")
+ENGINE = "CASE seq % 7 WHEN 0 THEN 'zscore' WHEN 1 THEN 'knn' WHEN 2 THEN 'naive_bayes' WHEN 3 THEN 'bloom' WHEN 4 THEN 'bloom' ELSE 'other' END"
+
+
+@query("A10_engine_hits", f"WITH {ALERTS_SQL}, en(engine) AS (VALUES ('zscore'), ('knn'), ('naive_bayes'), ('kmeans'), ('bloom')), h AS (SELECT {ENGINE} AS engine, count(*) AS n FROM al GROUP BY 1) SELECT engine, coalesce(n, 0) AS alerts FROM en LEFT JOIN h USING (engine)")
 def engine_hits(spark, sf):
     from .replay import engine_hits as hits
-    from .replay import replay, scenario
 
-    return hits(replay(scenario(spark)))
+    return hits(adapters.alerts(spark, sf).withColumn("engine", F.expr(ENGINE)))
 
 
-@query("T7_timeline")
+@query("T7_timeline", f"WITH {KINDS_SQL} SELECT t, seq AS seq_no, kind, risk_score FROM en ORDER BY t, seq LIMIT 15")
 def timeline(spark, sf):
-    from .replay import replay, scenario
     from .replay import timeline as first
 
-    return first(replay(scenario(spark)))
+    return first(kinds(spark, sf).select("t", F.col("seq").alias("seq_no"), "kind", "risk_score"))
+
+
+@query("W16_ring_numbers", f"WITH {PACKETS_SQL} SELECT no, row_number() OVER (ORDER BY ts, no) AS seq FROM pk")
+def ring_numbers(spark, sf):
+    from ..operators import ordered
+
+    p = adapters.packets(spark, sf).select("no", F.concat(F.date_format("ts", "yyyyMMddHHmmss.SSSSSS"), F.lpad(F.col("no").cast("string"), 20, "0")).alias("at"))
+    return ordered.rank(p, "at", "i", block=F.substring("at", 1, 10)).select("no", (F.col("i") + 1).alias("seq"))
 
 
 @query("M6_stream_zscore", GUARD_SQL)
@@ -725,14 +793,5 @@ def stream_dedup(spark, sf):
     from ..streaming.live import dedup as live
     from .workspace import run_stream
 
-    a = kinds(spark, sf).where("src < '10.0.0.2'").select("kind", "src", "message", F.col("t").cast("double").alias("t"))
-    return run_stream(a, lambda s: live(s, 86400.0))
-
-
-@query("M6_stream_dedup_all")
-def stream_dedup_all(spark, sf):
-    from ..streaming.live import dedup as live
-    from .workspace import run_stream
-
     a = kinds(spark, sf).select("kind", "src", "message", F.col("t").cast("double").alias("t"))
     return run_stream(a, lambda s: live(s, 86400.0))

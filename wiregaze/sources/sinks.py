@@ -23,7 +23,7 @@ def audit_rows(alerts: DataFrame, config: Config = Config()) -> DataFrame:
     excerpt = payload_excerpt(F.col("payload"), config.payload_excerpt_bytes, config.privacy_mode) if "payload" in alerts.columns else F.lit(None).cast("string")
     values = (
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), anonymise_ip(F.coalesce("src", F.lit("N/A")), config.anonymise_ips), F.col("engine"), verdict, e["severity"], e["risk_score"],
-        F.coalesce(F.format_string("%.4f", "confidence"), F.lit("")), e["technique_id"], e["tactic"], F.coalesce(excerpt, F.lit("")), F.col("message"),
+        F.when(F.col("confidence").isNull(), "").otherwise(F.format_string("%.4f", "confidence")), e["technique_id"], e["tactic"], F.coalesce(excerpt, F.lit("")), F.col("message"),
     )
     return alerts.select(*[v.alias(n) for v, n in zip(values, AUDIT_COLUMNS)])
 

@@ -143,5 +143,6 @@ def sample_flows(df: DataFrame, file: str, order: Column, total: int, files: int
     """An even quota of rows from each file, the remainder to the first files by name, chosen by ``order``."""
     names = df.select(F.col(file).alias("f")).distinct().withColumn("k", F.row_number().over(Window.orderBy("f")))
     quota = F.lit(total // files) + (F.col("k") <= total % files).cast("int")
-    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(file).orderBy(order)))
+    # the planner keeps the first rows of each file before it moves them, as the quota has a bound
+    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(file).orderBy(order))).where(F.col("_n") <= total // files + 1)
     return rows.join(names.select(F.col("f").alias(file), quota.alias("_quota")), file).where("_n <= _quota").drop("_n", "_quota")

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -92,6 +92,22 @@ def dedup(alerts: DataFrame, seconds: float = 5.0, forget_ms: int | None = None)
     return alerts.select("kind", "src", "message", F.col("t").cast("double").alias("t")).groupBy("kind", "src", "message").applyInPandasWithState(run, D_OUT, "last double", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout)
 
 
+def limited(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files: int = 100) -> DataFrame:
+    """A stream of the files of a folder that takes at most ``files`` a micro-batch: what does not fit waits, nothing is dropped."""
+    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files).load(path)
+
+
+def publish(stream: DataFrame, name: str, every: str | None = "1 second", mode: str = "append"):
+    """Keep a stream's rows as a table of the session, which pages poll by queries; None for ``every`` ends with the input."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(**trigger).start()
+
+
+def to_console(stream: DataFrame, every: str = "1 second", mode: str = "append"):
+    """Print a stream's rows."""
+    return stream.writeStream.format("console").option("truncate", False).outputMode(mode).trigger(processingTime=every).start()
+
+
 def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, trigger: dict | None = None):
     """Each micro-batch to every sink; the batch is computed once."""
 
