@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +13,10 @@ from ..sources.pcap import header, record
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wiregaze-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; executors need a folder that they share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="wiregaze-")
     return f"{base.rstrip('/')}/plans-{uuid.uuid4().hex}"
 
 
@@ -23,14 +27,16 @@ def csv_file(df: DataFrame) -> str:
 
 
 def capture_file(frames: DataFrame) -> str:
-    """A capture through Spark's file system: one text-free binary object, small by construction."""
+    """A capture through Spark's file system, record by record."""
     spark = frames.sparkSession
     path = folder(spark) + "/capture.pcap"
-    body = header(200) + b"".join(record(r["ts_us"], bytes(r["raw"]), r["orig_len"], 200) for r in frames.toLocalIterator())
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
-    out.write(bytearray(body))
+    out.write(bytearray(header(200)))
+    rows = frames.toLocalIterator()
+    while some := list(islice(rows, 10_000)):
+        out.write(bytearray(b"".join(record(r["ts_us"], bytes(r["raw"]), r["orig_len"], 200) for r in some)))
     out.close()
     return path
 

@@ -6,8 +6,11 @@ Files are opened through the Hadoop file system in ``read_pcap``, so any store t
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,24 +25,25 @@ class PcapError(ValueError):
     """A file that does not begin with a capture header."""
 
 
-def records(data: bytes) -> Iterator[tuple[int, bytes, int, int]]:
-    """(ts in microseconds, frame, captured length, original length); a truncated last record ends quietly."""
-    if len(data) < 24:
+def records(data: bytes | BinaryIO) -> Iterator[tuple[int, bytes, int, int]]:
+    """(ts in microseconds, frame, captured length, original length), one at a time; a truncated last record ends quietly."""
+    f = io.BytesIO(data) if isinstance(data, bytes) else data
+    top = f.read(24)
+    if len(top) < 24:
         raise PcapError("short capture header")
     for order in "<>":
-        magic = struct.unpack_from(order + "I", data)[0]
+        magic = struct.unpack_from(order + "I", top)[0]
         if magic in (MICRO, NANO):
             break
     else:
         raise PcapError("not a capture file")
-    at, head = 24, struct.Struct(order + "IIII")
-    while at + 16 <= len(data):
-        sec, frac, incl, orig = head.unpack_from(data, at)
-        at += 16
-        if at + incl > len(data):
+    head = struct.Struct(order + "IIII")
+    while len(start := f.read(16)) == 16:
+        sec, frac, incl, orig = head.unpack(start)
+        raw = f.read(incl)
+        if len(raw) < incl:
             return
-        yield sec * 1_000_000 + (frac // 1000 if magic == NANO else frac), data[at : at + incl], incl, orig
-        at += incl
+        yield sec * 1_000_000 + (frac // 1000 if magic == NANO else frac), raw, incl, orig
 
 
 class _Part(InputPartition):
@@ -58,12 +62,12 @@ class PcapReader(DataSourceReader):
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            for no, (ts, raw, incl, orig) in enumerate(records(f.read()), 1):
+            for no, (ts, raw, incl, orig) in enumerate(records(f), 1):
                 yield partition.path, no, ts, raw, incl, orig
 
 
 class PcapDataSource(DataSource):
-    """spark.dataSource.register(PcapDataSource); spark.read.format("pcap").load(path) for local paths."""
+    """spark.dataSource.register(PcapDataSource); spark.read.format("pcap").load(path) for local paths of any size, read record by record."""
 
     @classmethod
     def name(cls) -> str:
@@ -77,7 +81,7 @@ class PcapDataSource(DataSource):
 
 
 def read_pcap(spark: SparkSession, path: str) -> DataFrame:
-    """Captures in any store that Spark reads, one task a file."""
+    """Captures in any store that Spark reads, one task a file, which holds the file (2 GB at most) but not its records."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):
@@ -85,11 +89,12 @@ def read_pcap(spark: SparkSession, path: str) -> DataFrame:
 
         for b in batches:
             for path_, data in zip(b.column(0).to_pylist(), b.column(1)):
-                got = list(records(data.as_py()))
-                for i in range(0, len(got), 10_000):
-                    ts, raw, incl, orig = zip(*got[i : i + 10_000])
+                found, i = records(data.as_py()), 0
+                while some := list(islice(found, 10_000)):
+                    ts, raw, incl, orig = zip(*some)
                     n = len(ts)
                     yield pa.RecordBatch.from_arrays([pa.array([path_] * n), pa.array(range(i + 1, i + n + 1), pa.int64()), pa.array(ts, pa.int64()), pa.array(raw, pa.binary()), pa.array(incl, pa.int32()), pa.array(orig, pa.int32())], ["path", "no", "ts_us", "raw", "incl_len", "orig_len"])
+                    i += n
 
     return files.mapInArrow(run, SCHEMA)
 
