@@ -31,8 +31,9 @@ WINDOW = 2048
 #: Least ids served at a turn while others are owed more; keeps pieces long when sources are many.
 QUANTUM = 64
 BUCKET_TOKENS = 2_000_000
-#: Most pre-tokens whose ids a Python worker keeps, and texts encoded together.
+#: Most words whose ids a Python worker keeps, within a partition and after it, and texts encoded together.
 CACHE_PARTS = 1_200_000
+KEPT_PARTS = 300_000
 TOGETHER = 64
 #: How the vocabulary's file splits a text, in terms of Python's classes.
 PRETOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -49,9 +50,9 @@ def default_tokenizer() -> str:
 
 
 class PartEncoder:
-    """Ids of texts as bytes, by the pre-tokens that the tokenizer itself cuts a text into; seen ones are kept.
+    """Ids of texts as bytes, by the words between white space and the pre-tokens that the tokenizer itself cuts them into; seen ones are kept.
 
-    The pre-tokens of many texts that are not known yet are encoded together, and told apart by their last
+    The pre-tokens of many texts' new words that are not known yet are encoded together, and told apart by their last
     tokens, which alone end a word. Where the vocabulary marks no word ends, texts are encoded whole, as are
     those few whose characters Python and the tokenizer treat differently.
     """
@@ -118,14 +119,19 @@ class PartEncoder:
             if not self.marked or (any(map(t.__contains__, APART)) if t.isascii() else ODD.search(t)):
                 cut.append(self.whole(t))
                 continue
-            cut.append(PRETOKEN.findall((t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).lower()))
+            # white space is no part of any pre-token
+            cut.append((t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).lower().split())
         kinds = set().union(*[c for c in cut if isinstance(c, list)])
         new = kinds.difference(self.parts)
         if len(self.parts) + len(new) > CACHE_PARTS:
             self.parts.clear()
             new = kinds
-        self.learn(list(new))
         get = self.parts.__getitem__
+        words = {w: PRETOKEN.findall(w) for w in new}
+        self.learn(list(set().union(*words.values()).difference(self.parts)))
+        for w, own in words.items():
+            if w not in self.parts:
+                self.parts[w] = b"".join(map(get, own))
         return [c if isinstance(c, bytes) else b"".join(map(get, c)) for c in cut]
 
 
@@ -150,7 +156,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
                 ids = [x + end for x in enc.encode([t or "" for t in s.column(2).to_pylist()])]
                 n = [len(x) // enc.kind.itemsize for x in ids]
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n", "ids"])
-        enc.parts.clear()  # the worker lives on, also for other stages
+        if len(enc.parts) > KEPT_PARTS:  # the worker lives on, also for other stages
+            enc.parts.clear()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, source string, n long, ids binary")
 
