@@ -31,9 +31,8 @@ WINDOW = 2048
 #: Least ids served at a turn while others are owed more; keeps pieces long when sources are many.
 QUANTUM = 64
 BUCKET_TOKENS = 2_000_000
-#: Most words whose ids a Python worker keeps, within a partition and after it, and texts encoded together.
-CACHE_PARTS = 1_200_000
-KEPT_PARTS = 300_000
+#: Most words whose ids a task keeps, and texts encoded together.
+CACHE_PARTS = 600_000
 TOGETHER = 64
 #: How the vocabulary's file splits a text, in terms of Python's classes.
 PRETOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -156,8 +155,9 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
                 ids = [x + end for x in enc.encode([t or "" for t in s.column(2).to_pylist()])]
                 n = [len(x) // enc.kind.itemsize for x in ids]
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n", "ids"])
-        if len(enc.parts) > KEPT_PARTS:  # the worker lives on, also for other stages
-            enc.parts.clear()
+        # the worker lives on, also for other stages
+        enc.parts = {}
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, source string, n long, ids binary")
 

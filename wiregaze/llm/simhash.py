@@ -353,6 +353,7 @@ def wide_links(pairs: DataFrame, lim: Limits) -> DataFrame:
         for at in range(0, len(rows), 1 << 16):
             part = rows[at : at + (1 << 16)].T
             yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in part[:4]], pa.array(part[4] == 1)], names)
+        pa.default_memory_pool().release_unused()
 
     return pairs.mapInArrow(run, "a long, b long, n long, m long, sure boolean")
 
