@@ -12,7 +12,7 @@ from ..functions import scalars as S
 from ..operators import alerts as A
 from ..operators import bayes, bloom, evaluate, intervals, kmeans, knn, zscore
 from ..sources import adapters, tabular
-from ..sources.adapters import ALERTS_SQL, PACKETS_SQL
+from ..sources.adapters import ALERTS_SQL, FRAMES_SQL, PACKETS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -331,7 +331,19 @@ def novelty_frozen(spark, sf):
     return kmeans.novelty(h, "hour", "series", start=FROZEN, update=False).select("hour", "cluster", F.round("distance", 6).alias("distance"), "is_threat")
 
 
-@query("A18_kmeans_train")
+LLOYD_SQL = f"""WITH RECURSIVE {HOURLY_SQL}, o AS (SELECT row_number() OVER (ORDER BY hour) - 1 AS i, pps::DOUBLE AS x, unique_ports::DOUBLE AS y, greatest(1, count(*) OVER () // 3) AS step FROM hr),
+f(r, cx, cy, moved) AS (
+  SELECT 0, list(x ORDER BY i), list(y ORDER BY i), 1e9::DOUBLE FROM o WHERE i IN (0, step, 2 * step)
+  UNION ALL
+  SELECT r + 1, nx, ny, list_sum([sqrt(pow(nx[k] - cx[k], 2) + pow(ny[k] - cy[k], 2)) FOR k IN range(1, 4)]) FROM (
+    SELECT r, any_value(cx) AS cx, any_value(cy) AS cy, {', '.join(f"[{', '.join(f'coalesce(avg({v}) FILTER (c = {k}), any_value(c{v})[{k}])' for k in (1, 2, 3))}] AS n{v}" for v in 'xy')}
+    FROM (SELECT *, list_position(ds, list_min(ds)) AS c FROM (SELECT f.*, o.x, o.y, [sqrt((o.x - cx[k]) * (o.x - cx[k]) + (o.y - cy[k]) * (o.y - cy[k])) FOR k IN range(1, 4)] AS ds FROM f, o WHERE moved >= 1e-3 AND r < 25)) GROUP BY r)),
+e AS (SELECT cx, cy FROM f ORDER BY r DESC LIMIT 1),
+n AS (SELECT list_position(ds, list_min(ds)) AS c, count(*) AS n FROM (SELECT [sqrt((x - cx[k]) * (x - cx[k]) + (y - cy[k]) * (y - cy[k])) FOR k IN range(1, 4)] AS ds FROM e, o) GROUP BY 1)
+SELECT CAST(k - 1 AS INTEGER) AS cluster, round(cx[k], 6) AS pps, round(cy[k], 6) AS unique_ports, coalesce(n, 0) AS rows FROM e, (SELECT unnest(range(1, 4)) AS k) g LEFT JOIN n ON n.c = g.k"""
+
+
+@query("A18_kmeans_train", LLOYD_SQL)
 def kmeans_train(spark, sf):
     m = kmeans.train(hourly(spark, sf), "hour")
     rows = [(i, round(c[0], 6), round(c[1], 6), n) for i, (c, n) in enumerate(zip(m["centroids"], m["cluster_counts"]))]
@@ -521,12 +533,27 @@ def legacy(spark, sf):
 
 # ---- scalars -------------------------------------------------------------------------------------
 
-@query("L13_redact")
+def redact_sql(x: str) -> str:
+    for pattern, mark in C.REDACTIONS:
+        x = f"""regexp_replace({x}, '{pattern.replace("'", "''")}', '{mark.replace("$", chr(92))}', 'g')"""
+    return x
+
+
+#: Each letter beyond ASCII stands between signs that end in underscores, so that ASCII word boundaries hold for it too.
+FENCED = r"array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN strlen(c) > 1 AND regexp_matches(c, '[\p{L}\p{N}]') THEN '_' || chr(1) || c || chr(1) || '_' ELSE c END), '')"
+REDACT_SQL = f"SELECT doc_id, md5(replace(replace(replace({redact_sql('fenced')}, '_' || chr(1), ''), chr(1) || '_', ''), chr(1), '')) AS redacted FROM (SELECT doc_id, {FENCED} AS fenced FROM documents)"
+
+
+@query("L13_redact", REDACT_SQL)
 def redact(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.md5(F.encode(S.redact(F.col("text")), "UTF-8")).alias("redacted"))
 
 
-@query("L14_payload_excerpt")
+CLIPPED = "substr(array_to_string(list_transform(string_split(substr(html, 1, 64), ''), lambda c: CASE WHEN regexp_full_match(c, '[\\x20-\\x7e]') THEN c ELSE repeat('.', strlen(c)) END), ''), 1, 64)"
+EXCERPT_SQL = f"SELECT page_id, {redact_sql(CLIPPED)} AS excerpt FROM pages"
+
+
+@query("L14_payload_excerpt", EXCERPT_SQL)
 def excerpt(spark, sf):
     return read(spark, sf, "pages").select("page_id", S.payload_excerpt(F.encode("html", "UTF-8"), 64).alias("excerpt"))
 
@@ -720,21 +747,26 @@ def rate_series(spark, sf):
 # ---- captures, replay and streams ----------------------------------------------------------------
 
 
-@query("F1_F2_F4_F5_decode")
+DECODE_SQL = f"""WITH {PACKETS_SQL}, {FRAMES_SQL}, d AS (SELECT *, status = 'ok' AS ok, CASE WHEN proto IN ('TCP', 'UDP') THEN sport ELSE 0 END AS sp, CASE WHEN proto IN ('TCP', 'UDP') THEN dport ELSE 0 END AS dp,
+  CASE WHEN proto = 'TCP' THEN coalesce(nullif(concat_ws(', ', {', '.join(f"CASE WHEN (no % 64) & {b} <> 0 THEN '{n}' END" for b, n in C.TCP_FLAGS)}), ''), '-') ELSE '-' END AS fg FROM fl)
+SELECT no, status, CASE WHEN ok THEN src END AS src, CASE WHEN ok THEN '192.168.1.' || (no % 250 + 1) END AS dst, CASE WHEN ok THEN proto END AS proto, CASE WHEN ok THEN sp END AS sport, CASE WHEN ok THEN dp END AS dport, CASE WHEN ok THEN fg END AS flags,
+  CASE WHEN NOT ok THEN NULL WHEN proto = 'TCP' THEN sp || ' -> ' || dp || ' [' || fg || '] Seq=' || (no * 7919 % 4294967296) || ' Win=' || (no % 65536) WHEN proto = 'UDP' THEN sp || ' -> ' || dp || ' Len=' || (bytes + 8)
+    WHEN proto = 'ICMP' THEN 'ICMP type=' || (no % 16) || ' code=' || (no % 4) ELSE 'IP protocol 47' END AS info, CASE WHEN ok THEN bytes END AS payload_bytes FROM d"""
+
+
+@query("F1_F2_F4_F5_decode", DECODE_SQL)
 def decode_frames(spark, sf):
     from ..functions.frames import decode
-    from .replay import scenario
 
-    return decode(scenario(spark)).select("no", "status", "src", "dst", "proto", "sport", "dport", "flags", "info", F.length("payload").alias("payload_bytes"))
+    return decode(adapters.frames(spark, sf)).select("no", "status", "src", "dst", "proto", "sport", "dport", "flags", "info", F.length("payload").alias("payload_bytes"))
 
 
-@query("S1_S2_pcap_round_trip")
+@query("S1_S2_pcap_round_trip", f"WITH {PACKETS_SQL}, {FRAMES_SQL} SELECT row_number() OVER (ORDER BY no) AS no, epoch_us(ts) AS ts_us, incl_len, incl_len + CASE WHEN no % 3 = 0 THEN 100 ELSE 0 END AS orig_len FROM fl")
 def pcap_round_trip(spark, sf):
     from ..sources.pcap import read_pcap
-    from .replay import scenario
     from .workspace import capture_file
 
-    return read_pcap(spark, capture_file(scenario(spark).orderBy("no"))).select("no", "ts_us", "incl_len", "orig_len")
+    return read_pcap(spark, capture_file(adapters.frames(spark, sf).orderBy("no"))).select("no", "ts_us", "incl_len", "orig_len")
 
 
 @query("S26_replay_alerts")
