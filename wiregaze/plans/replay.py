@@ -12,6 +12,7 @@ from ..functions.scalars import enrich
 from ..operators import alerts as A
 from ..operators import bayes, bloom, intervals, kmeans, knn, zscore
 from ..operators.ordered import rank
+from .workspace import written
 
 
 def scenario(spark: SparkSession, start_us: int = 1_700_000_000_000_000, listed: str = "10.0.0.66") -> DataFrame:
@@ -86,11 +87,13 @@ def interval_alerts(v: dict[str, DataFrame]) -> DataFrame:
 
 
 def replay(frames: DataFrame, config: Config = Config(), listed: tuple[str, ...] = C.REPLAY_BLACKLIST) -> DataFrame:
-    """frames: no, ts_us, raw -> alerts: t, engine, src, message, confidence, kind, technique_id, tactic, severity, risk_score."""
+    """Runs at once, but for the alerts themselves. frames: no, ts_us, raw -> alerts: t, engine, src, message, confidence, kind, technique_id, tactic, severity, risk_score."""
     spark = frames.sparkSession
     bits = bloom.bits_of(bloom.build(spark.createDataFrame([(x,) for x in listed] or [("",)], "ip string"), "ip", config.bloom_size, config.bloom_hashes))
-    packets = packets_of(frames, bits, config)
-    alerts = packet_alerts(packets, len(bits) / config.bloom_size, config).unionByName(interval_alerts(verdicts(packets, config)))
+    # decoded once, and each fold run once, however many branches read them
+    packets = written(packets_of(frames, bits, config).select("no", "second", "t", "seq_no", "src", "dport", "payload", "bl_hit"))
+    found = {name: written(v) for name, v in verdicts(packets, config).items()}
+    alerts = packet_alerts(packets, len(bits) / config.bloom_size, config).unionByName(interval_alerts(found))
     e = enrich(F.col("message"), F.col("confidence"))
     return alerts.select("*", *[e[k].alias(k) for k in ("kind", "technique_id", "tactic", "severity", "risk_score")])
 

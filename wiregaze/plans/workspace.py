@@ -26,6 +26,13 @@ def csv_file(df: DataFrame) -> str:
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once, for plans that read it in several branches; each branch reads its own columns."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def capture_file(frames: DataFrame) -> str:
     """A capture through Spark's file system, record by record."""
     spark = frames.sparkSession
