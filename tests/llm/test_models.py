@@ -160,3 +160,19 @@ def test_vectors_without_a_code(spark):
     made = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select(F.col("vec_id").alias("id"), topk.sign_code(F.col("embedding")).alias("code")).where("code is not null and id is not null")
     got = sorted((r["query_id"], r["neighbor_id"], r["distance"]) for r in topk.search(made, made.where("id % 50 = 0")).collect())
     assert got == [(50, 1, 0), (50, 5, 1), (50, 50, 0)]
+
+
+def test_rounds_keep_one_table(spark):
+    import glob
+
+    from wiregaze.llm import common
+
+    tables = lambda name: set(glob.glob(f"{common.scratch_dir(spark).removeprefix('file://')}/wiregaze/{name}-*"))
+    kept = {n: tables(n) for n in ("stars", "rank")}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    roots = common.connected_components(chain)
+    ring = spark.createDataFrame([("t", str(i), str((i + 1) % 9), 1) for i in range(9)], "side string, src string, dst string, weight long")
+    seeds = spark.createDataFrame([("t", str(i), float(i == 0)) for i in range(9)], "side string, host string, seed double")
+    scores = urls.spread(seeds, ring, tolerance=0.2)
+    assert all(len(tables(n) - kept[n]) == 1 for n in kept)
+    assert {r["root"] for r in roots.collect()} == {0} and scores.count() == 9

@@ -25,12 +25,34 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/wiregaze/{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/wiregaze/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The state of a loop: each round's table takes the place of the last one's, whose files go once it is written.
+
+    No plan may read a table after the next one is put.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path = spark, name, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, self.name)
+        df.write.parquet(path)
+        old, self.path = self.path, path
+        if old:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +75,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = saved(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct(), "links")
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
     cur = e.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    last = None
+    stars, last = Rounds(edges.sparkSession, "stars"), None
     for _ in range(max_rounds):
         # large star: every node hands its larger neighbours to its smallest one
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -63,7 +85,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
-        cur = saved(small.distinct(), "stars")
+        cur = stars.put(small.distinct())
         state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == last:
             break

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import Rounds, saved, table
 
 K = 10
 BITS = 64
@@ -73,7 +73,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, held: int = HELD, at
     index = saved(by.groupBy("seg", "value", "block").agg(F.collect_list("code").alias("codes"), F.collect_list("first").alias("firsts"), F.collect_list("n").alias("ns")), "index")
     asked = saved(queries.select("id", "code").distinct(), "asked")
     best_type = "array<struct<d:int,first:long,code:long,n:int>>"
-    state = saved(asked.select(F.col("code").alias("q")).distinct().withColumn("best", F.array().cast(best_type)).withColumn("open", F.lit(True)), "state")
+    states = Rounds(rows.sparkSession, "state")
+    state = states.put(asked.select(F.col("code").alias("q")).distinct().withColumn("best", F.array().cast(best_type)).withColumn("open", F.lit(True)))
 
     kind = pa.list_(pa.struct([("d", pa.int32()), ("first", pa.int64()), ("code", pa.int64()), ("n", pa.int32())]))
     parts = [(np.uint64(a), np.uint64((1 << w) - 1)) for a, w in at]
@@ -138,7 +139,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, held: int = HELD, at
         bound = len(at) * (r + 1) - 1
         have = F.aggregate(F.filter("best", lambda x: x["d"] <= bound), F.lit(0), lambda a, x: a + x["n"])
         closed = (have >= k) | (F.size("best") >= total) | F.lit(r == width)
-        state = saved(state.where("not open").union(merged.withColumn("open", ~closed)), "state")
+        state = states.put(state.where("not open").union(merged.withColumn("open", ~closed)))
     ids = rows.select("id", "code").distinct().join(state.select(F.explode("best.code").alias("code")).distinct(), "code", "left_semi")
     w = smallest(ids, k)
     hits = state.select("q", F.explode("best").alias("b")).select("q", "b.d", "b.code").join(w, "code").select("q", "d", F.explode("ids").alias("neighbor_id"))

@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import Rounds, saved, table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DAMPING = 0.85
@@ -65,12 +65,13 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, toleran
     """
     out = edges.groupBy("side", "src").agg(F.sum("weight").alias("total"))
     shares = saved(edges.join(out, ["side", "src"]).select("side", F.col("src").alias("host"), "dst", (damping * F.col("weight") / F.col("total")).alias("share")), "shares")
-    state = saved(seeds.select("side", "host", F.col("seed").alias("score"), F.col("seed").alias("new")), "rank")
+    ranks = Rounds(seeds.sparkSession, "rank")
+    state = ranks.put(seeds.select("side", "host", F.col("seed").alias("score"), F.col("seed").alias("new")))
     total = state.agg(F.sum("new")).first()[0] or 0.0
     for _ in range(most_rounds(damping, tolerance)):
         got = shares.join(state.where("new > 0").select("side", "host", "new"), ["side", "host"]).groupBy("side", F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("new")).alias("got"))
         new = F.coalesce("got", F.lit(0.0))
-        state = saved(state.join(got, ["side", "host"], "left").select("side", "host", (F.col("score") + new).alias("score"), new.alias("new")), "rank")
+        state = ranks.put(state.join(got, ["side", "host"], "left").select("side", "host", (F.col("score") + new).alias("score"), new.alias("new")))
         if (state.agg(F.sum("new")).first()[0] or 0.0) * damping / (1 - damping) <= tolerance * total:
             break
     return state.select("side", "host", "score")
