@@ -52,8 +52,13 @@ class Guarded:
         n = len(self.history)
         if n < 2:
             return 0.0, 0.0
-        mean = math.fsum(self.history) / n
-        return mean, math.sqrt(math.fsum((x - mean) ** 2 for x in self.history) / n)
+        # Welford's steps in the order of admission, as in SQL: a z on the threshold is decided by the last digit
+        mean = m2 = 0.0
+        for i, x in enumerate(self.history, 1):
+            d = x - mean
+            mean += d / i
+            m2 += d * (x - mean)
+        return math.fsum(self.history) / n, math.sqrt(m2 / n)
 
     def z_of(self, x: float) -> float:
         """z of a value against the present baseline, which it does not change."""
