@@ -42,13 +42,33 @@ def report(results: DataFrame) -> DataFrame:
     return results.select("engine", poor.alias("no_better_than_guessing"), F.concat_ws("\n", *lines).alias("report"))
 
 
-def two_sided(rows: DataFrame, order: str, value: str, label: str = "label", window: int = 30, warmup: int = 100, threshold: float = 3.0) -> DataFrame:
-    """Adds z and predicted ("Attack" or "Normal") against a frozen baseline: the last ``window`` of the first ``warmup`` normal rows."""
+def two_sided(rows: DataFrame, order: str, value: str, label: str = "label", window: int = 30, warmup: int = 100, threshold: float = 3.0, flat: bool = False) -> DataFrame:
+    """Adds z and predicted ("Attack" or "Normal") against a frozen baseline: the last ``window`` of the first ``warmup`` normal rows.
+
+    z is null where there are no normal rows. A deviation of zero gives 0, or with flat what dividing gives: infinity, NaN at
+    the mean, both beyond the threshold.
+    """
     first = rows.where(F.col(label) == "Normal").orderBy(order).limit(warmup)
-    base = first.orderBy(F.desc(order)).limit(window).agg(F.count("*").alias("_n"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    newest = F.sort_array(F.collect_list(F.struct(order, F.col(value).cast("double").alias("x"))), asc=False)
+    base = first.orderBy(F.desc(order)).limit(window).agg(moments(F.transform(newest, lambda r: r["x"])).alias("_b"))
     df = rows.crossJoin(F.broadcast(base))  # one row
-    z = F.when((F.col("_n") > 1) & (F.col("_s") > 0), F.abs((F.col(value) - F.col("_m")) / F.col("_s"))).otherwise(0.0)
-    return df.withColumn("z", z).withColumn("predicted", F.when(F.col("z") > threshold, "Attack").otherwise("Normal")).drop("_n", "_m", "_s")
+    n, m, s, x = F.col("_b.n"), F.col("_b.mean"), F.col("_b.std"), F.col(value)
+    even = F.when(x == m, float("nan")).otherwise(float("inf")) if flat else F.lit(0.0)
+    z = F.when(s > 0, F.abs((x - m) / s)).when(n > 0, even)
+    return df.withColumn("z", z).withColumn("predicted", F.when(F.col("z") > threshold, "Attack").otherwise("Normal")).drop("_b")
+
+
+def moments(values: Column) -> Column:
+    """n, mean and population deviation of a short array, by Welford's steps in its order, as SQL takes them; null where it is empty."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"), F.lit(0.0).alias("sum"))
+
+    def add(a: Column, x: Column) -> Column:
+        n = a["n"] + 1
+        mean = a["mean"] + (x - a["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + (x - a["mean"]) * (x - mean)).alias("m2"), (a["sum"] + x).alias("sum"))
+
+    some = lambda a, v: F.when(a["n"] > 0, v / F.greatest(a["n"], F.lit(1)))
+    return F.aggregate(values, zero, add, lambda a: F.struct(a["n"].alias("n"), some(a, a["sum"]).alias("mean"), F.sqrt(some(a, a["m2"])).alias("std")))
 
 
 def best(results: DataFrame) -> DataFrame:
