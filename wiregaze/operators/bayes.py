@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.constants import LIKELIHOODS, PRIORS, WEAK_WORDS
+from ..functions.constants import LIKELIHOODS, NEWER_LETTERS, PRIORS, WEAK_WORDS
 
 
 @pandas_udf(T.StringType())
@@ -49,13 +50,16 @@ def positive(label: Column) -> Column:
     return F.upper(label).isin("MALICIOUS", "ATTACK")
 
 
-def tokens(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.upper(text), r"[^\p{L}\p{N}_$]+"), lambda t: F.char_length(t) >= 3))
+def tokens(text: Column, upper: Callable[[Column], Column] = F.upper) -> Column:
+    newer = "".join("-".join(f"\\x{{{x}}}" for x in r.split("-")) for r in NEWER_LETTERS.split())
+    cut = lambda more: F.split(upper(text), rf"[^\p{{L}}\p{{N}}_${more}]+")
+    words = F.when(text.rlike(r"[^\x00-\x{86f}]"), cut(newer)).otherwise(cut(""))
+    return F.array_distinct(F.filter(words, lambda t: F.char_length(t) >= 3))
 
 
-def discover(samples: DataFrame, payload: str = "payload", label: str = "label", top: int = 40, least: int = 2) -> DataFrame:
+def discover(samples: DataFrame, payload: str = "payload", label: str = "label", top: int = 40, least: int = 2, upper: Callable[[Column], Column] = F.upper) -> DataFrame:
     """word, mal, safe, score: words by how unevenly the classes' documents hold them."""
-    one = samples.select(positive(F.col(label)).alias("m"), F.explode(tokens(F.col(payload))).alias("word"))
+    one = samples.select(positive(F.col(label)).alias("m"), F.explode(tokens(F.col(payload), upper)).alias("word"))
     df = one.groupBy("word").agg(F.count_if("m").alias("mal"), F.count_if(~F.col("m")).alias("safe")).where(F.col("mal") + F.col("safe") >= least)
     return df.withColumn("score", F.abs(F.log((F.col("mal") + 1) / (F.col("safe") + 1)))).orderBy(F.desc(F.round("score", 9)), F.desc("word")).limit(top)
 
